@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .exact_dedup import exact_groups
+from .fingerprints import compare_with_next
+from .language_id import fit_network, identify_languages
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import MIN_WORDS, substring_dedup
@@ -39,8 +42,37 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return identify_languages(docs, fit_network(docs))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_read(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer(), digests=True)
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_minhash_dedup, op5_toxicity, op6_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_substring_dedup,
+        op3_minhash_dedup,
+        op5_toxicity,
+        op6_best_fit_packing,
+        op7_language_id,
+        op8_fingerprints,
+        op10_bpe,
+    )
 }
 
 _SPACE = r"[\t-\r ]+"
