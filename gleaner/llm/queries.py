@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .exact_dedup import exact_groups
 from .fingerprints import compare_with_next
+from .html_extract import extract_pages
 from .language_id import fit_network, identify_languages
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import MIN_WORDS, substring_dedup
 from .toxicity import fit_lexicon, score_toxicity
+from .warc import archive_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +35,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_lexicon(docs, _read(spark, sf_dir, "labels")))
@@ -51,6 +57,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_read(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer(), digests=True)
 
@@ -67,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_exact_dedup,
         op2_substring_dedup,
         op3_minhash_dedup,
+        op4_warc,
         op5_toxicity,
         op6_best_fit_packing,
         op7_language_id,
         op8_fingerprints,
+        op9_html_extraction,
         op10_bpe,
     )
 }
@@ -97,4 +109,12 @@ ORACLE_SQL = {
                count(*) FILTER (cut)::INT AS n_removed,
                '[' || coalesce(string_agg('{{"start":' || start_at::BIGINT || ',"end":' || (start_at + length(line))::BIGINT || '}}', ',' ORDER BY pos) FILTER (cut), '') || ']' AS removed_spans
         FROM ranked GROUP BY doc_id""",
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to, url
+        FROM f""",
 }
