@@ -185,13 +185,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = scratch.table(source.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, halves array<long>"), "sketches")
 
-    classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.table(classes.where("n > 1").drop("n"), "copies")  # written, so that Spark can split the hot side of the join
     member = scratch.table(
         sketches.join(classes, "digest", "left").select(
             "doc_id",
             "n_shingles",
             F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.when(F.col("doc_id") == F.col("class_id"), F.col("halves")).alias("halves"),
+            F.when(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.col("halves")).alias("halves"),
         ),
         "classes",
     )
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _star_and_rest(source: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
     heads = member.where("halves is not null").select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), "halves")
     entries = scratch.table(heads.select("id", "n", F.explode("halves").alias("entry")), "entries")
-    met = entries.groupBy("entry").count().where("count > 1").select("entry")
+    met = scratch.table(entries.groupBy("entry").count().where("count > 1").select("entry"), "met")
     live = entries.join(met, "entry", "left_semi").groupBy("id", "n").agg(F.collect_set("entry").alias("e"))
     left = F.filter("e", lambda x: x.bitwiseAND(F.lit(1)) == 0)
     right = F.filter("e", lambda x: x.bitwiseAND(F.lit(1)) == 1)
@@ -220,12 +221,13 @@ def _star_and_rest(source: DataFrame, member: DataFrame, scratch: Scratch) -> Da
     )
     keys = scratch.table(keys, "keys")
     pivots = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pivots = pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    pivots = scratch.table(pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot")), "pivots")
     pairs = scratch.table(keys.join(pivots, "key").where("id <> pivot").select("id", "pivot", "n", "n_pivot").distinct(), "pairs")
-    scratch.discard(entries, keys)
+    scratch.discard(entries, keys, met, pivots)
 
     involved = pairs.select("id").union(pairs.select("pivot")).distinct()
-    texts = source.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    # a sort-merge join at every size: texts are shuffled once, whether the ids would fit a broadcast or not
+    texts = source.join(involved.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
     sets = scratch.table(texts.mapInArrow(_sets, "id long, hashes array<long>"), "sets")
 
     near = pairs.where("100 * least(n, n_pivot) >= 75 * greatest(n, n_pivot)")
