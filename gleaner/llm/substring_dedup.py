@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, Scratch
 
 #: A repeated line of fewer words (a heading, "All rights reserved.") is no passage and stays where it is.
 MIN_WORDS = 20
@@ -32,6 +32,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rank is (doc_id, line number). Only digests and positions are shuffled. Counting is pre-aggregated, and a line that a
     third of the corpus shares meets its first occurrence in a skewed join that Spark splits.
     """
+    scratch = Scratch(docs.sparkSession, "lines")
     units = line_units(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_words)
     first = (
         units.groupBy("digest")
@@ -39,6 +40,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .where("n > 1")
         .select("digest", F.col("first.doc_id").alias("f_doc"), F.col("first.pos").alias("f_pos"))
     )
+    first = scratch.table(first, "first")  # written, so that Spark can split the hot side of the join
     later = units.join(first, "digest").where("doc_id <> f_doc or pos <> f_pos")
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 

@@ -137,7 +137,7 @@ def dedup_archive(spark: SparkSession, source: str, target: str, scratch: Scratc
     headers = read_archive(spark, source)
     revisits = (
         headers.where(f"payload_bytes >= {MIN_REVISIT_BYTES}")
-        .join(originals(headers), "payload_digest")
+        .join(scratch.table(originals(headers), "originals"), "payload_digest")
         .where("page_id is null or page_id <> original_id")
         .select(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), F.col("original_id").alias("refers_to"))
         .distinct()
