@@ -85,18 +85,25 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     has no next document: the next text is empty. An empty table gives an empty result. Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # renamed columns keep the plan alike on both sides of the join below, so that texts are shuffled once
+    base = rows.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
     order = scratch.table(next_ids(docs, scratch, id_col), "order")
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"))
-    size = scratch.table(base.select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("k")), "sizes")
+    size = scratch.table(rows.where("doc_id is not null").select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("k")), "sizes")
     wanted = wanted.join(size.groupBy(F.col("doc_id").alias("prev_id")).agg(F.max("k").alias("k")), "prev_id")
     following = (
-        base.join(wanted, "doc_id")
-        .select("prev_id", F.substring("text", F.lit(1), F.col("k")).alias("head"), fingerprint(merkle_tree(F.col("text"))).alias("next_print"))
+        base.join(wanted, F.col("key") == F.col("doc_id"))
+        .select("prev_id", F.substring("body", F.lit(1), F.col("k")).alias("head"), fingerprint(merkle_tree(F.col("body"))).alias("next_print"))
         .groupBy("prev_id")
         .agg(F.min(F.struct("head", "next_print")).alias("f"))
     )
-    both = base.join(following, base["doc_id"] == following["prev_id"], "left")
+    both = base.join(following, F.col("key") == F.col("prev_id")).select(F.col("key").alias("doc_id"), F.col("body").alias("text"), "f")
+    alone = rows.where("doc_id is null").withColumn("f", F.lit(None).cast(following.schema["f"].dataType))
+    return _compare(both).union(_compare(alone))
+
+
+def _compare(both: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("f.head", F.lit("")), F.lit(1), cut))
