@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from struct import pack
 
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 # Fixed value: the pre-split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose tokens a task remembers before it starts a new table.
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
+#: Words of one trie: few enough to stay in a processor's cache.
+CHUNK = 1_000
+PAIR = 1 << 20  # above all token ids and ranks
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,10 +53,10 @@ class Vocabulary:
         self.byte = [0] * 256
         for c, b in letters.items():
             self.byte[b] = ids[c]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merge: dict[int, int] = {}  # left * PAIR + right -> rank * PAIR + merged
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[ids[left], ids[right]] = rank, ids[left + right]
+            self.merge[ids[left] * PAIR + ids[right]] = rank * PAIR + ids[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label |= {i: t.encode() for t, i in self.special.items()}
 
@@ -66,60 +69,84 @@ class Automaton:
         self.table: dict[int, int] = {}  # state * 256 + byte -> state
         self.source = [0]  # of each state's incoming arc, after the gadgets
         self.token = [-1]  # its label
-        self.depth = [0]
         self.known: dict[str, bytes] = {}
 
-    def compile(self, words: Iterable[str]) -> None:
-        """Add words by a trie of their own: the gadgets of the states that are there are finished."""
+    def compile(self, words: list[str]) -> None:
+        """Add words, in tries of ``CHUNK`` neighbours each: the gadgets of tries that are there are finished."""
+        for at in range(0, len(words), CHUNK):
+            self._compile([(w, w.encode()) for w in words[at : at + CHUNK]])
+
+    def _compile(self, spelled: list[tuple[str, bytes]]) -> None:
+        byte, merge = self.vocabulary.byte, self.vocabulary.merge
         table, source, token, depth = {}, [0], [-1], [0]
         children: list[list[int]] = [[]]
-        byte, merge = self.vocabulary.byte, self.vocabulary.merge
-        heap: list[tuple[int, int, int, int, int]] = []
-        spelled = [(w, w.encode()) for w in words]
+        deep = max(len(word) for _, word in spelled) + 1
+        wide = sum(len(word) for _, word in spelled) + 1
+        heap = []  # (rank * deep + depth) * wide + state: by rank, then from the start of the words
+        ends = []
         for _, word in spelled:
             s = 0
-            for b in word:
+            for d, b in enumerate(word, 1):
                 k = s * 256 + b
                 t = table.get(k)
                 if t is None:
                     t = table[k] = len(source)
+                    label = byte[b]
                     source.append(s)
-                    token.append(byte[b])
-                    depth.append(depth[s] + 1)
+                    token.append(label)
+                    depth.append(d)
                     children.append([])
-                    children[s].append(t)
-                    if s and (m := merge.get((token[s], byte[b]))):
-                        heap.append((m[0], depth[t], t, s, m[1]))
+                    if s:
+                        children[s].append(t)
+                        m = merge.get(token[s] * PAIR + label)
+                        if m is not None:
+                            heap.append((m // PAIR * deep + d) * wide + t)
                 s = t
+            ends.append(s)
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            rank, _, state, middle, merged = heapq.heappop(heap)
-            if source[state] != middle or not middle or (m := merge.get((token[middle], token[state]))) is None or m[0] != rank:
+            at, state = divmod(pop(heap), wide)
+            middle = source[state]
+            if not middle:
+                continue
+            m = merge.get(token[middle] * PAIR + token[state])
+            if m is None or m // PAIR != at // deep:
                 continue
+            merged = m % PAIR
             start = source[middle]
             children[middle].remove(state)
-            children[start].append(state)
             source[state], token[state] = start, merged
-            if start and (m := merge.get((token[start], merged))):
-                heapq.heappush(heap, (m[0], depth[state], state, start, m[1]))
+            if start:
+                children[start].append(state)
+                m = merge.get(token[start] * PAIR + merged)
+                if m is not None:
+                    push(heap, (m // PAIR * deep + depth[state]) * wide + state)
             for t in children[state]:
-                if m := merge.get((merged, token[t])):
-                    heapq.heappush(heap, (m[0], depth[t], t, state, m[1]))
-        self.table, self.source, self.token, self.depth = table, source, token, depth
-        for w, word in spelled:
-            ids = self.walk(word)
-            self.known[w] = pack(f"<{len(ids)}I", *ids)
+                m = merge.get(merged * PAIR + token[t])
+                if m is not None:
+                    push(heap, (m // PAIR * deep + depth[t]) * wide + t)
+        self.table, self.source, self.token = table, source, token
+        known = self.known
+        for (w, _), s in zip(spelled, ends, strict=True):
+            ids = self._arcs(s)
+            known[w] = pack(f"<{len(ids)}I", *ids)
+
+    def _arcs(self, state: int) -> list[int]:
+        """The tokens on the arcs from the start to a state."""
+        source, token, out = self.source, self.token, []
+        while state:
+            out.append(token[state])
+            state = source[state]
+        out.reverse()
+        return out
 
     def walk(self, word: bytes) -> list[int]:
-        """Follow the table by the word's bytes, then read the tokens off the arcs."""
+        """Follow the table by the bytes of a word of the newest trie, then read the tokens off the arcs."""
         s = 0
         for b in word:
             s = self.table[s * 256 + b]
-        out = []
-        while s:
-            out.append(self.token[s])
-            s = self.source[s]
-        return out[::-1]
+        return self._arcs(s)
 
 
 class Encoder:
