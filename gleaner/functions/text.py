@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import values as V
 
@@ -21,11 +22,16 @@ def lit_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body (or a lambda in it) uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def among(word: Column, words) -> Column:
     return word.isin(*words)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     """Character references decoded, all of them; Spark has no such function."""
     return s.map(html.unescape, na_action="ignore")
@@ -71,11 +77,16 @@ def company_tokens(name: Column) -> Column:
 
 def company_key(name: Column) -> Column:
     """FN-09: one id per company: no one-letter words, no extra words at the end, joined."""
-    words = company_tokens(name)
-    long = F.filter(words, lambda w: F.length(w) > 1)
-    words = F.when(F.size(long) > 0, long).otherwise(words)
-    last = F.array_max(F.transform(words, lambda w, i: F.when((i == 0) | ~among(w, V.CORP_EXTRA), i + 1)))
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(F.slice(words, F.lit(1), last), ""))
+
+    def key(words: Column) -> Column:
+        last = F.array_max(F.transform(words, lambda w, i: F.when((i == 0) | ~among(w, V.CORP_EXTRA), i + 1)))
+        return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(F.slice(words, F.lit(1), last), ""))
+
+    def shorter(words: Column) -> Column:
+        long = F.filter(words, lambda w: F.length(w) > 1)
+        return let(F.when(F.size(long) > 0, long).otherwise(words), key)
+
+    return let(company_tokens(name), shorter)
 
 
 def _says_something(part: Column) -> Column:
@@ -132,16 +143,19 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     """FN-15: a phrase between word boundaries in lower-case text; blank phrases are in no text."""
     p = F.trim(F.lower(F.coalesce(phrase, F.lit(""))))
     escaped = F.regexp_replace(p, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return (p != "") & F.coalesce(text, F.lit("")).rlike(F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")))
+    return (p != "") & F.rlike(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")))
 
 
 def signature(text: Column, hashed=F.crc32) -> Column:
     """FN-16: the 64 smallest distinct hashes of five-word shingles of the first 800 words; short texts have none."""
-    w = F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0)), 1, V.SIGNATURE_WORDS)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4))
-    shingles = F.transform(starts, lambda i: hashed(F.array_join(F.slice(w, i, F.lit(5)), " ")))
-    low = F.slice(F.array_sort(F.array_distinct(shingles)), 1, V.SIGNATURE_SIZE)
-    return F.when(F.length(F.array_join(w, " ")) >= V.SIGNATURE_MIN_CHARS, low).otherwise(F.slice(low, 1, 0))
+
+    def low(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 5))
+        shingles = F.transform(starts, lambda i: hashed(F.concat_ws(" ", *[F.get(w, i + k) for k in range(5)])))
+        found = F.slice(F.array_sort(F.array_distinct(shingles)), 1, V.SIGNATURE_SIZE)
+        return F.when(F.length(F.array_join(w, " ")) >= V.SIGNATURE_MIN_CHARS, found).otherwise(F.slice(found, 1, 0))
+
+    return let(F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0)), 1, V.SIGNATURE_WORDS), low)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -168,10 +182,15 @@ def company_match(a: Column, b: Column) -> Column:
 def written_in(text: Column) -> Column:
     """FN-21: the language by its frequent words; ties go by the order of the lists; '' if too short to tell."""
     w = F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zäöüßàâçéèêëîïôûùñáíóú]+"), F.lit(0)), 1, V.LANGUAGE_WORDS_READ)
-    counts = F.array(*[_hits(w, ws) for ws in V.LANGUAGE_WORDS.values()])
-    best = F.array_max(counts)
-    name = F.element_at(lit_array(V.LANGUAGE_WORDS), F.array_position(counts, best).cast("int"))
-    return F.when((best >= V.LANGUAGE_MIN_HITS) & (best >= V.LANGUAGE_MIN_SHARE * F.size(w)), name).otherwise("")
+    counts = let(w, lambda w: F.array(F.size(w), *[_hits(w, ws) for ws in V.LANGUAGE_WORDS.values()]))
+
+    def name(n: Column) -> Column:
+        hits = F.slice(n, 2, len(V.LANGUAGE_WORDS))
+        best = F.array_max(hits)
+        found = F.element_at(lit_array(V.LANGUAGE_WORDS), F.array_position(hits, best).cast("int"))
+        return F.when((best >= V.LANGUAGE_MIN_HITS) & (best >= V.LANGUAGE_MIN_SHARE * n[0]), found).otherwise("")
+
+    return let(counts, name)
 
 
 def _hits(w: Column, listed) -> Column:

@@ -50,15 +50,17 @@ def role_bonus(role: Column) -> Column:
 
 def role_match(title: Column, roles: Column) -> Column:
     """SC-01: struct of the best share and its role; the first of equals; null if no role scores above 0."""
-    mine = T.words(title)
 
-    def rate(role: Column, i: Column) -> Column:
-        own = T.role_words(role)
-        hit = F.size(F.filter(own, lambda w: F.array_contains(mine, w))) / F.size(own)
-        share = F.when(F.array_contains(mine, T.role_head(role)), hit).otherwise(hit * 0.4) - 0.02 * i
-        return F.when(F.size(own) > 0, F.struct(share.alias("share"), (-i).alias("first"), role.alias("role")))
+    def best(mine: Column) -> Column:
+        def rate(role: Column, i: Column) -> Column:
+            own = T.role_words(role)
+            hit = F.size(F.filter(own, lambda w: F.array_contains(mine, w))) / F.size(own)
+            share = F.when(F.array_contains(mine, T.role_head(role)), hit).otherwise(hit * 0.4) - 0.02 * i
+            return F.when(F.size(own) > 0, F.struct(share.alias("share"), (-i).alias("first"), role.alias("role")))
 
-    return F.array_max(F.filter(F.transform(roles, rate), lambda r: r["share"] > 0))
+        return F.array_max(F.filter(F.transform(roles, rate), lambda r: r["share"] > 0))
+
+    return T.let(T.words(title), best)
 
 
 def location_match(location: Column, title: Column, text: Column, remote: Column) -> Column:
@@ -139,7 +141,7 @@ def score(df: DataFrame) -> DataFrame:
     wanted = F.filter(wanted, lambda k: (F.length(k) > 2) & ~F.lower(k).isin(*V.GENERIC) & ~F.array_contains(places, F.lower(k)))
     df = df.withColumn("_w", wanted)
     whole = F.concat_ws(" ", c("_x"), c("_t"))
-    hits = F.array_distinct(F.filter(c("_w"), lambda k: T.has_phrase(whole, k)))
+    hits = T.let(whole, lambda t: F.array_distinct(F.filter(c("_w"), lambda k: T.has_phrase(t, k))))
     by_name = F.transform(F.array_sort(F.transform(hits, lambda k: F.struct(F.lower(k).alias("l"), k.alias("k")))), lambda s: s["k"])
     df = df.withColumn("_h", by_name).where((F.size("_w") == 0) | (F.size("_h") > 0) | (F.length("text") < V.FULL_TEXT))
     liked = F.array_except(F.array_intersect(_list("liked_words"), T.words(c("title"))), T.lit_array(V.GENERIC))

@@ -98,7 +98,7 @@ def step_tasks(tasks: DataFrame, outcomes: DataFrame, now: Column, max_attempts:
     status = F.when(live & F.col("ok"), "done").when(live & over, "failed").when(live, "pending").otherwise(F.col("status"))
     pause = F.make_dt_interval(secs=(base * F.pow(F.lit(2.0), F.col("attempts") - 1)).cast("decimal(18,6)"))
     after = F.when(live & ~F.col("ok") & ~over, now + pause).otherwise(F.col("run_after"))
-    return t.withColumn("status", status).withColumn("run_after", after).drop("ok")
+    return t.withColumns({"status": status, "run_after": after}).drop("ok")
 
 
 def count_with_guard(events: DataFrame, key: str, ts: str, most: int) -> DataFrame:
