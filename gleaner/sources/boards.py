@@ -160,7 +160,7 @@ def successfactors(items: DataFrame) -> DataFrame:
     raw = F.trim(F.coalesce("title", F.lit("")))
     pattern = r"^(.*?)\s*\(([^()]*,[^()]*)\)\s*$"
     placed = raw.rlike(pattern)
-    parts = F.filter(F.transform(F.split(F.regexp_extract(raw, pattern, 2), ","), F.trim), lambda x: (x != "") & ~x.rlike(r"\d"))
+    parts = F.filter(F.transform(F.split(F.regexp_extract(raw, pattern, 2), ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"\d"))
     host = F.split("owner", r"\.")
     return items.select(
         F.lit("successfactors").alias("source"), F.when(F.size(host) > 1, F.try_element_at(host, F.lit(-2))).otherwise(c("owner")).alias("company"),
