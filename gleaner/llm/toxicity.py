@@ -37,7 +37,7 @@ _LETTERS, _LETTERS_LIKE = CYRILLIC + GREEK + FULL_WIDTH, CYRILLIC_LIKE + GREEK_L
 #: Labelled rows that a fit reads at most, those with the smallest crc32 of the id.
 MAX_FIT_ROWS = 20_000
 MAX_TERMS = 3_000
-MIN_FAMILIES = 5
+MIN_FAMILIES = 3
 MIN_WEIGHT = 3.0
 PREFIXES = range(4, 9)
 CUT = 0.3
@@ -124,16 +124,18 @@ def fit_lexicon(
     """Learn entries, weights, exception phrases and the curve from labelled rows that aren't held out.
 
     At most ``max_rows`` labelled rows are read. A term's weight is its smoothed log-odds between the classes, counted in
-    families of documents (by one minimum hash of the words) so that copies of one text don't vouch for each other. Word
-    beginnings are counted from the word table. A pair of words with an entry inside that clean families use more than toxic
+    families of documents (by one minimum hash of three-word shingles) so that copies of one text don't vouch for each other.
+    A term needs so many toxic families that chance alone would hardly yield one such among all terms. Word beginnings are
+    counted from the word table. A pair of words with an entry inside that clean families use more than toxic
     ones becomes an exception. Without labels of both classes the lexicon is empty and every score is the curve's floor.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     ids = ids.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id").limit(max_rows)
-    words = F.array_distinct(F.split(F.trim("t"), " "))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).join(F.broadcast(ids), "id").select("id", "y", fold_column(F.col("raw")).alias("t"))
-    rows = rows.select("id", "y", "t", F.array_min(F.transform(words, lambda w: F.xxhash64(w))).alias("family"), words.alias("words"))
+    rows = rows.withColumn("w", F.split(F.trim("t"), " "))
+    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 3)), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(3)]))
+    rows = rows.select("id", "y", "t", F.array_min(triples).alias("family"), F.array_distinct("w").alias("words"))
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = scratch.table(rows, "sample")
     sizes = dict(rows.groupBy("y").agg(F.countDistinct("family")).collect())
@@ -149,7 +151,10 @@ def fit_lexicon(
     starts = table.select(F.explode(F.array(*[F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in PREFIXES])).alias("term"), "a", "b")
     starts = starts.where("term is not null").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1.0))
-    found = exact.union(starts).withColumn("w", odds).where((F.col("a") >= MIN_FAMILIES) & (F.col("w") >= MIN_WEIGHT) & (F.col("b") * 10 <= F.col("a")))
+    terms = scratch.table(exact.union(starts), "terms")
+    chance = sizes[1] / (sizes[0] + sizes[1])
+    least = max(MIN_FAMILIES, math.ceil((math.log(max(1, terms.count())) + 3) / math.log(1 / chance)))
+    found = terms.withColumn("w", odds).where((F.col("a") >= least) & (F.col("w") >= MIN_WEIGHT) & (F.col("b") * 10 <= F.col("a")))
     weights = {r["term"]: r["w"] for r in found.orderBy(F.desc("a"), "term").limit(MAX_TERMS).collect()}
     lexicon = Lexicon(weights, exceptions)
     if not weights:
@@ -160,7 +165,7 @@ def fit_lexicon(
     learned = tuple(sorted(r["pair"] for r in spots.select("pair").limit(MAX_TERMS).collect()))
     lexicon = Lexicon(weights, exceptions + learned)
     data = np.array([tuple(r) for r in _spots(rows, lexicon).select("f1", "f2", "y").collect()], float)
-    scratch.discard(rows)
+    scratch.discard(rows, terms)
     return Lexicon(weights, lexicon.exceptions, _curve(data[:, :2], data[:, 2]))
 
 
