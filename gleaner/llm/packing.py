@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, Scratch
 
 #: Permitted sequence lengths in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -83,6 +83,7 @@ def pack_documents(
     """
     top, sizes = max(capacities), tuple(sorted(set(capacities)))
     lengths = docs.select(F.col(id_col).alias("doc_id"), length(F.col(text_col)).cast("long").alias("n"))
+    lengths = Scratch(docs.sparkSession, "packing").table(lengths, "lengths")  # texts are read once, for the total and the pieces
     pieces = lengths.select(
         "doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1).cast("int"))).alias("piece")
     ).select("doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("n_tokens"))
