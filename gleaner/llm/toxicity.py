@@ -153,7 +153,7 @@ def fit_lexicon(
     odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1.0))
     terms = scratch.table(exact.union(starts), "terms")
     chance = sizes[1] / (sizes[0] + sizes[1])
-    least = max(MIN_FAMILIES, math.ceil((math.log(max(1, terms.count())) + 3) / math.log(1 / chance)))
+    least = max(MIN_FAMILIES, math.ceil(math.log(max(2, terms.count())) / math.log(1 / chance)))
     found = terms.withColumn("w", odds).where((F.col("a") >= least) & (F.col("w") >= MIN_WEIGHT) & (F.col("b") * 10 <= F.col("a")))
     weights = {r["term"]: r["w"] for r in found.orderBy(F.desc("a"), "term").limit(MAX_TERMS).collect()}
     lexicon = Lexicon(weights, exceptions)
