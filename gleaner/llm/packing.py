@@ -21,7 +21,7 @@ SHARD_TOKENS = 8_000_000
 
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null and empty have 0."""
-    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "), "^ | $", "")
+    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
     return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1).cast("long")
 
 

@@ -12,7 +12,7 @@ MIN_WORDS = 20
 
 
 def _normal(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(line), SPACES, " "), "^ | $", "")
+    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
 
 
 def _words(normal: Column) -> Column:
