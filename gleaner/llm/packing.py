@@ -36,6 +36,7 @@ def pack_shard(items: Sequence[tuple[object, int, int]], capacities: Sequence[in
     Items go in order of size, largest first, into the open bin that leaves the least room. If none fits, a bin opens with
     the size that is cheapest for what it can be expected to hold: of the permitted sizes that take the item, the one with
     the least cost per token when the room beyond the item is filled from the smaller items that are still to come.
+    Where only items of length 0 are left, that is the smallest size.
     Each bin is at last shrunk to the smallest permitted size that holds its contents.
     """
     sizes = sorted(set(capacities))
@@ -50,7 +51,7 @@ def pack_shard(items: Sequence[tuple[object, int, int]], capacities: Sequence[in
         if at < len(room):
             free, b = room.pop(at)
         else:
-            cost = lambda c: sequence_cost(c, attention) / min(c, n + to_come)
+            cost = lambda c: sequence_cost(c, attention) / min(c, max(1, n + to_come))
             free = min((c for c in sizes if c >= n), key=lambda c: (cost(c), c))
             b = len(used)
             used.append(0)
@@ -75,19 +76,21 @@ def pack_documents(
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest, so nothing is dropped.
     Pieces are dealt by a hash of document and piece into shards of about ``shard_tokens`` tokens and each shard is packed
-    by itself, with ids and lengths only; ``bin_id`` is ``shard-bin``.
+    by itself, with ids and lengths only; ``bin_id`` is ``shard-bin``. A piece counts as one token at least in the number of
+    shards, and null ids are dealt by a number of their row, so that many empty texts or null ids don't make one large shard.
 
-    Null and empty texts have no tokens and give one piece of length 0, which takes no room. Ties go by id, then piece; rows
-    that repeat an id are packed each. Null ids are packed like others, last among equals. An empty table gives an empty
-    result. Extra columns are ignored.
+    Null and empty texts have no tokens and give one piece of length 0, which takes no room; if no open
+    bin has room, it opens one of the smallest capacity. Ties go by id, then piece; rows that repeat an id are packed each.
+    Null ids are packed like others, last among equals. An empty table gives an empty result. Extra columns are ignored.
     """
     top, sizes = max(capacities), tuple(sorted(set(capacities)))
     lengths = docs.select(F.col(id_col).alias("doc_id"), length(F.col(text_col)).cast("long").alias("n"))
+    lengths = lengths.withColumn("salt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
     lengths = Scratch(docs.sparkSession, "packing").table(lengths, "lengths")  # texts are read once, for the total and the pieces
     pieces = lengths.select(
-        "doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1).cast("int"))).alias("piece")
-    ).select("doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("n_tokens"))
-    total = lengths.agg(F.sum("n")).first()[0] or 0
+        "doc_id", "n", "salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1).cast("int"))).alias("piece")
+    ).select("doc_id", "salt", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("n_tokens"))
+    total = lengths.agg(F.sum(F.greatest("n", F.lit(1)))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -100,7 +103,8 @@ def pack_documents(
         kinds = [shard.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("salt", "piece")).otherwise(F.xxhash64("doc_id", "piece"))
+    dealt = pieces.withColumn("shard", F.pmod(key, F.lit(shards))).drop("salt")
     return dealt.groupBy("shard").applyInArrow(
         pack, f"doc_id {kind}, piece int, start long, n_tokens long, bin_id string, bin_offset long, capacity int"
     )

@@ -36,6 +36,23 @@ def test_packing_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (5, 1), (5, 1), (2**60 + 1, 2)]
 
 
+def test_packing_of_empty_texts_and_full_bins(spark):
+    assert pack_shard([(1, 0, 64), (2, 0, 0), (3, 0, 0)], (16, 32, 64)) == [(1, 0, 64, 0, 0, 64), (2, 0, 0, 1, 0, 16), (3, 0, 0, 1, 0, 16)]
+    got = pack_documents(spark.createDataFrame([(1, None, ""), (2, "", ""), (3, " \t\n", "")], SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["n_tokens"], r["capacity"]) for r in got) == [(i, 0, 0, min(CAPACITIES)) for i in (1, 2, 3)]
+    full = [(1, " ".join(["w"] * max(CAPACITIES)), ""), (2, "", "")]
+    got = pack_documents(spark.createDataFrame(full, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["capacity"]) for r in got) == [(1, max(CAPACITIES), max(CAPACITIES)), (2, 0, min(CAPACITIES))]
+
+
+def test_packing_deals_null_ids_and_empty_texts(spark):
+    rows = [(None, "a b" if i % 2 else None, "") for i in range(400)]
+    got = pack_documents(spark.createDataFrame(rows, SCHEMA), shard_tokens=100).collect()
+    assert sorted(r["n_tokens"] for r in got) == [0] * 200 + [2] * 200
+    shards = [r["bin_id"].split("-")[0] for r in got]
+    assert len(set(shards)) == 6 and max(map(shards.count, shards)) < 130
+
+
 def brute_pack(items, capacities):
     """The same rule by linear search over all bins."""
     bins, order = [], sorted(items, key=lambda x: (-x[2], x[0], x[1]))
