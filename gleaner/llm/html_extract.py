@@ -28,6 +28,9 @@ MIN_CLASS, MIN_SUPPORT = 3, 0.5
 MIN_PAGES = 8
 #: Share of the text that the article's slot holds at least.
 MAIN_SHARE = 0.6
+#: An element marked by its class holds the article all the same if it has more than so much of the page's text: with an h1,
+#: article or main element in it, and without.
+WRAPPER_SHARE, BARE_SHARE = 0.5, 0.8
 #: Templates are broadcast up to this many bytes, else joined by host.
 BROADCAST_BYTES = 4_000_000
 
@@ -44,6 +47,11 @@ BESIDE = frozenset(
     "comment comments disqus cookie cookies consent notice popup modal newsletter subscribe share sharing social related recommended widget pagination "
     "login signup".split()
 )
+# Words before one of them that only tell of a page's layout or subject (has-sidebar, category-social), and elements that no
+# class puts beside the article.
+MODIFIERS = frozenset("has have no not non without with hide category categories cat tag tagged topic".split())
+NEVER_BESIDE = frozenset("html body main article".split())
+COMMENTS = frozenset("comment comments disqus".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -77,29 +85,47 @@ class Page:
     paths: dict[str, int] = field(default_factory=dict)
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its classes and id without digits, and whether the element lies beside the article."""
-    name, beside = tag, tag in SKIPPED
+def _marks(value: str) -> set[str]:
+    """Words of BESIDE in a class or id, but for those that follow a modifier in the same class."""
+    found = set()
+    for one in value.split():
+        for word in _WORD.findall(one):
+            if word in MODIFIERS:
+                break
+            if word in BESIDE:
+                found.add(word)
+    return found
+
+
+def _signature(tag: str, attributes: str) -> tuple[str, bool, set[str]]:
+    """Tag with its classes and id without digits, whether the element lies beside the article, and words of its classes and
+    id that say so unless it holds the article."""
+    name, beside, said = tag, tag in SKIPPED, set()
     if attributes and "=" in attributes:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         marks = []
         for key in ("class", "id"):
             if key in found:
-                words = _WORD.findall(found[key].lower())
-                marks.append("-".join(words))
-                beside = beside or not BESIDE.isdisjoint(words)
+                marks.append("-".join(_WORD.findall(found[key].lower())))
+                said |= _marks(found[key].lower())
         if marks:
             name = f"{tag}.{'.'.join(marks)}"
         beside = beside or found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true"
         beside = beside or bool(re.search(r"\bhidden\b", re.sub(r'"[^"]*"|\'[^\']*\'', "", attributes)))
-    return name, beside
+    return name, beside, said
 
 
 def parse(text: str) -> Page:
-    """Blocks of a page in order, each with its path and the paths around it; counts of all paths."""
+    """Blocks of a page in order, each with its path and the paths around it; counts of all paths.
+
+    A class or id with a word of BESIDE puts an element beside the article, but not if it holds most of the page's text.
+    """
     page = Page()
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, beside
-    signatures: dict[tuple[str, str], tuple[str, bool]] = {}
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, -1)]  # tag, path, beside, number of the mark by class
+    signatures: dict[tuple[str, str], tuple[str, bool, set[str]]] = {}
+    comments: list[bool] = []  # of marks: by words of comments only
+    wraps: set[int] = set()  # marks with an h1, article or main element inside
+    marked: list[tuple[Block, list[int]]] = []
     parts: list[str] = []
     linked = links = 0
 
@@ -110,6 +136,8 @@ def parse(text: str) -> Page:
         if whole:
             around = [s for s in stack if s[0] in BLOCKS] or stack[:1]
             page.blocks.append(Block(whole, around[-1][1], tuple(s[1] for s in around), any(s[2] for s in stack), min(linked, len(whole))))
+            if comments and not page.blocks[-1].beside and (marks := [s[3] for s in stack if s[3] >= 0]):
+                marked.append((page.blocks[-1], marks))
         linked = 0
 
     at = 0
@@ -158,7 +186,7 @@ def parse(text: str) -> Page:
         key = (tag, m[4])
         if key not in signatures:
             signatures[key] = _signature(tag, m[4])
-        name, beside = signatures[key]
+        name, beside, said = signatures[key]
         if tag == "header":
             beside = beside or not any(s[0] in ("article", "main") for s in stack)
         path = f"{stack[-1][1]}/{name}" if block else stack[-1][1]
@@ -167,9 +195,24 @@ def parse(text: str) -> Page:
         if m[4].endswith("/"):
             continue
         links += tag == "a"
-        stack.append((tag, path, beside))
+        if comments and (tag in ("h1", "main") or tag == "article" and not said):
+            wraps.update(s[3] for s in stack)
+        mark = -1
+        if said and not beside and tag not in NEVER_BESIDE:
+            mark = len(comments)
+            comments.append(said <= COMMENTS)
+        stack.append((tag, path, beside, mark))
     parts.append(text[at:])
     flush()
+    if marked:
+        held = [0] * len(comments)
+        for b, marks in marked:
+            for m in marks:
+                held[m] += len(b.text) - b.linked
+        total = sum(len(b.text) - b.linked for b in page.blocks if not b.beside)
+        holds = [h > WRAPPER_SHARE * total if k in wraps else h > BARE_SHARE * total and not comments[k] for k, h in enumerate(held)]
+        for b, marks in marked:
+            b.beside = not all(holds[m] for m in marks)
     return page
 
 

@@ -105,3 +105,27 @@ def test_equal_pages_keep_their_text(spark):
 )
 def test_blocks(html, text):
     assert H.extract(html, None, frozenset()) == text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body class="home has-sidebar"><p>a</p></body>', "a"),
+        ('<body class="sidebar"><p>a</p></body>', "a"),
+        ('<html class="no-cookie"><body><main id="banner"><p>a</p></main></body></html>', "a"),
+        ('<div id="page" class="no-sidebar"><p>a</p><div class="sidebar">side</div></div>', "a"),
+        ('<article class="post category-social"><p>a</p></article>', "a"),
+        ('<div class="social"><h1>Title</h1><p>one two three</p></div><p>end</p>', "Title\none two three\nend"),
+        ('<div class="sidebar"><p>one two three</p></div>', "one two three"),
+        ('<p>one</p><div class="comments"><article class="comment"><p>one two three four five</p></article></div>', "one"),
+        ('<div class="promo"><p>one two three</p></div><p>four five six</p>', "four five six"),
+    ],
+)
+def test_wrappers_are_not_beside(html, text):
+    assert H.extract(html, None, frozenset()) == text
+
+
+def test_wrappers_of_a_host(spark):
+    body = '<html><body class="home has-sidebar"><div id="page" class="right-sidebar"><article class="category-social"><h1>Title {0}</h1><p>Text {0}</p></article></div><div class="sidebar">x</div></body></html>'
+    got = H.extract_pages(frame(spark, [(i, "http://a.example/", body.format(i)) for i in range(12)])).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i}\nText {i}" for i in range(12)}
