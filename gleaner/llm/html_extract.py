@@ -4,8 +4,9 @@ Tokens are the elements of a page, told apart by their path of tags, classes and
 occurrence vector is how often it stands in each page of the host. Vectors are compared by an order-free digest, so classes
 come from one grouping by (host, token) and one by (host, vector), however many pages a host has. Classes that are large and
 frequent enough are valid; their elements, nested by path, are the host's template. Elements of the template that stand once
-in a page and whose contents vary are slots, and the deepest one that holds most of the text is the slot of the article. Its
-blocks are extracted, but for parts marked as navigation, adverts and the like and for text in the slot's own class.
+in a page and whose contents vary are slots. The article's slot is the deepest one that holds most of the text, widened until
+no text around it varies from page to page, within the article or main element if there is one. Its blocks are extracted, but
+for parts marked as navigation, adverts and the like and for text in the slot's own class.
 """
 
 from __future__ import annotations
@@ -217,19 +218,19 @@ def parse(text: str) -> Page:
 
 
 def extract(text: str, main: str | None, constants: frozenset[int]) -> str:
-    """The article's blocks of a page, one a line; without a template, of its first article or main element, else the body."""
+    """The article's blocks of a page, one a line; without a template, of its article or else main elements, else the body."""
     page = parse(text)
     blocks = page.blocks
     inside = None
     if main is not None and any(main in b.inside for b in blocks):
-        inside = main
+        inside = {main}
     else:
         for wanted in ("article", "main"):
-            paths = [p for b in blocks if not b.beside for p in b.inside if p.rsplit("/", 1)[-1].split(".")[0] == wanted]
+            paths = {p for b in blocks if not b.beside for p in b.inside if p.rsplit("/", 1)[-1].split(".")[0] == wanted}
             if paths:
-                inside = min(paths, key=lambda p: p.count("/"))
+                inside = paths
                 break
-    kept = (b for b in blocks if not b.beside and (inside is None or inside in b.inside))
+    kept = (b for b in blocks if not b.beside and (inside is None or not inside.isdisjoint(b.inside)))
     return "\n".join(b.text for b in kept if not constants or digest(f"{b.path}|{b.text}") not in constants)
 
 
@@ -238,8 +239,9 @@ def host_of(url: Column) -> Column:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``host, page, token, path, n, chars, content`` of ``host, page, html``: elements with the text they hold (without
-    links and parts beside the article) and its digest, text blocks with null path, and the page itself as path ``''``."""
+    """``host, page, token, path, n, chars, content, own`` of ``host, page, html``: elements with the text they hold (without
+    links and parts beside the article) and its digest, text blocks with null path, and the page itself as path ``''``.
+    ``own`` is a digest of such text directly in the element, null without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,21 +249,42 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 page = parse(text.as_py() or "")
                 chars: dict[str, int] = {"": 0}
                 content: dict[str, int] = {}
+                own: dict[str, int] = {}
                 texts: dict[int, int] = {}
                 for b in page.blocks:
                     size = 0 if b.beside else len(b.text) - b.linked
                     mark = digest(f"{b.path}|{b.text}")
                     texts[mark] = texts.get(mark, 0) + 1
+                    if size:
+                        own[b.path] = (own.get(b.path, 0) * 31 + mark) & 0x7FFFFFFFFFFFFFFF
                     for p in dict.fromkeys(("", *b.inside)):
                         chars[p] = chars.get(p, 0) + size
                         content[p] = (content.get(p, 0) * 31 + mark) & 0x7FFFFFFFFFFFFFFF
-                rows = [(digest(p), p, n, chars.get(p, 0), content.get(p, 0)) for p, n in ({"": 1} | page.paths).items()]
-                rows += [(t, None, n, 0, 0) for t, n in texts.items()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                rows = [(digest(p), p, n, chars.get(p, 0), content.get(p, 0), own.get(p)) for p, n in ({"": 1} | page.paths).items()]
+                rows += [(t, None, n, 0, 0, None) for t, n in texts.items()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 3), strict=True)]
                 fixed = [pa.array([host.as_py()] * len(rows), pa.string()), pa.array([key.as_py()] * len(rows), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*fixed, *columns], ["host", "page", "token", "path", "n", "chars", "content"])
+                yield pa.RecordBatch.from_arrays([*fixed, *columns], ["host", "page", "token", "path", "n", "chars", "content", "own"])
 
-    return pages.mapInArrow(run, "host string, page long, token long, path string, n int, chars long, content long")
+    return pages.mapInArrow(run, "host string, page long, token long, path string, n int, chars long, content long, own long")
+
+
+def widen(deepest: DataFrame, template: DataFrame, every: DataFrame, roots: DataFrame) -> DataFrame:
+    """``host, main, vector, inner`` of ``host, main, vector``: each slot widened to the smallest slot around it that holds all
+    text that varies; ``inner`` is the vector it came from. It stays within the outermost article or main element around it."""
+    within = lambda path, around: (path == around) | F.startswith(path, F.concat(around, F.lit("/")))
+    names = F.transform(F.split("main", "/"), lambda x: F.substring_index(x, ".", 1))
+    edge = F.array_min(F.filter(F.array(F.array_position(names, "article"), F.array_position(names, "main")), lambda x: x > 0))
+    deepest = deepest.select("host", "main", F.col("vector").alias("inner"), edge.alias("edge"))
+    tag, level = F.substring_index(F.substring_index("path", "/", -1), ".", 1), F.size(F.split("path", "/"))
+    slots = template.where((F.col("most") == 1) & F.col("varies") & tag.isin(*sorted(CONTAINERS))).select("host", "path", "vector")
+    around = slots.join(deepest, "host").where(within(F.col("main"), F.col("path")) & (F.col("edge").isNull() | (level >= F.col("edge"))))
+    more = every.where("path <> '' and owning > 0").join(roots, "host").where("own_varies or owning < pages").select("host", F.col("path").alias("at"))
+    more = more.join(deepest.select("host", "main"), "host").where(~within(F.col("at"), F.col("main"))).select(F.col("host").alias("of"), "at")
+    held = around.join(more, (F.col("host") == F.col("of")) & within(F.col("at"), F.col("path")), "left")
+    held = held.groupBy("host", "path", "vector", "inner", level.alias("level")).agg(F.count("at").alias("held"))
+    best = held.groupBy("host").agg(F.max(F.struct("held", "level", "path", "vector", "inner")).alias("m"))
+    return best.select("host", F.col("m.path").alias("main"), F.col("m.vector").alias("vector"), F.col("m.inner").alias("inner"))
 
 
 def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -277,10 +300,13 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
             occurrence.alias("vector"),
             F.sum("chars").alias("chars"),
             (F.min("content") != F.max("content")).alias("varies"),
+            F.count("own").alias("owning"),
+            (F.min("own") != F.max("own")).alias("own_varies"),
         )
-        .where("support > 1")
+        .where("support > 1 or owning > 0")
     )
-    tokens = scratch.table(tokens, "tokens")
+    every = scratch.table(tokens, "tokens")
+    tokens = every.where("support > 1")
     roots = tokens.where("path = ''").select("host", F.col("support").alias("pages"), F.col("chars").alias("total"))
     classes = tokens.groupBy("host", "vector", "support").agg(F.count(F.lit(1)).alias("size"))
     valid = classes.join(roots, "host").where((F.col("size") >= MIN_CLASS) & (F.col("support") >= MIN_SUPPORT * F.col("pages")))
@@ -288,9 +314,11 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     tag = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
     slot = (F.col("most") == 1) & F.col("varies") & tag.isin(*sorted(CONTAINERS)) & (F.col("chars") >= MAIN_SHARE * F.col("total")) & (F.col("total") > 0)
     depth = F.length("path") - F.length(F.translate("path", "/", ""))
-    mains = template.groupBy("host").agg(F.max(F.when(slot, F.struct(depth.alias("depth"), "chars", "path", "vector"))).alias("m")).where("m is not null")
-    mains = scratch.table(mains.select("host", F.col("m.path").alias("main"), F.col("m.vector").alias("vector")), "mains")
-    fixed = template.where(F.col("path").isNull() & (F.col("support") >= MIN_PAGES)).join(mains, ["host", "vector"])
+    deepest = template.groupBy("host").agg(F.max(F.when(slot, F.struct(depth.alias("depth"), "chars", "path", "vector"))).alias("m")).where("m is not null")
+    deepest = scratch.table(deepest.select("host", F.col("m.path").alias("main"), F.col("m.vector").alias("vector")), "deepest")
+    mains = scratch.table(widen(deepest, template, every, roots), "mains")
+    vectors = mains.select("host", F.explode(F.array_distinct(F.array("vector", "inner"))).alias("vector"))
+    fixed = template.where(F.col("path").isNull() & (F.col("support") >= MIN_PAGES)).join(vectors, ["host", "vector"])
     constants = fixed.groupBy("host").agg(F.collect_set("token").alias("constants"))
     return scratch.table(mains.join(constants, "host", "left").select("host", "main", F.coalesce("constants", F.array().cast("array<long>")).alias("constants")), "templates")
 

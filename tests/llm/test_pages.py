@@ -129,3 +129,25 @@ def test_wrappers_of_a_host(spark):
     body = '<html><body class="home has-sidebar"><div id="page" class="right-sidebar"><article class="category-social"><h1>Title {0}</h1><p>Text {0}</p></article></div><div class="sidebar">x</div></body></html>'
     got = H.extract_pages(frame(spark, [(i, "http://a.example/", body.format(i)) for i in range(12)])).collect()
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i}\nText {i}" for i in range(12)}
+
+
+SPLIT = {
+    "lead": ("<article><h1>Title {0}</h1><p class=lead>Lead {0}</p><div class=body>{1}</div></article>", "Title {0}\nLead {0}\n{1}"),
+    "main": ("<main><h1>Title {0}</h1><article><p>{1}</p></article></main><p>Visit {0}</p>", "Title {0}\n{1}"),
+    "sections": ("<div class=post><div class=one>{1}</div><div class=two>Second {0}</div><p>Same</p></div><div class=foot>Same foot</div>", "{1}\nSecond {0}"),
+    "same": ("<div class=post><div class=one>{1}</div><p>Same</p></div><div class=foot>Same foot</div>", "{1}"),
+}
+
+
+@pytest.mark.parametrize("kind", SPLIT)
+def test_text_that_varies_around_the_deepest_slot(spark, kind):
+    html, text = SPLIT[kind]
+    long = [f"word{i} " * 30 + "end" for i in range(12)]
+    rows = [(i, "http://a.example/", f"<html><body>{html.format(i, long[i])}</body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(frame(spark, rows)).collect()}
+    assert got == {i: text.format(i, long[i]) for i in range(12)}
+
+
+def test_articles_without_a_template():
+    html = "<article class=a><p>one</p></article><article class=b><p>two</p></article><p>three</p>"
+    assert H.extract(html, None, frozenset()) == "one\ntwo"
