@@ -13,7 +13,7 @@ from .html_extract import extract_pages
 from .language_id import fit_network, identify_languages
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
-from .substring_dedup import MIN_WORDS, substring_dedup
+from .substring_dedup import substring_dedup
 from .toxicity import fit_lexicon, score_toxicity
 from .warc import archive_pages
 
@@ -95,20 +95,38 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
-    "op2_substring_dedup": rf"""
-        WITH lines AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
-            FROM documents),
-        units AS (
-            SELECT *, trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g')) AS n,
-                   sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start_at
-            FROM lines),
+    "op2_substring_dedup": r"""
+        WITH units AS (
+            SELECT doc_id, u.unnest AS unit, u.ordinality - 1 AS pos
+            FROM documents, unnest(regexp_extract_all(text, '[^\n]*?(?:[.!?,;:][!-/:-@\[-^`{-~]{0,8}[ \t]|\n|\z)')) WITH ORDINALITY AS u
+            WHERE u.unnest <> ''),
+        measured AS (
+            SELECT *, len(regexp_extract_all(unit, '[^\x20\t-\r]+')) AS n, sum(length(unit)) OVER w - length(unit) AS a, sum(length(unit)) OVER w AS b
+            FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        counted AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS before FROM measured),
+        paragraphs AS (
+            SELECT x.doc_id, x.pos, y.pos AS last, x.a, y.b
+            FROM counted x JOIN counted y ON y.doc_id = x.doc_id AND y.before < x.before + 20 AND y.before + y.n >= x.before + 20
+            WHERE x.n > 0),
+        named AS (
+            SELECT p.*, md5(trim(regexp_replace(lower(substring(d.text, (a + 1)::BIGINT, (b - a)::BIGINT)), '[\x20\t-\r]+', ' ', 'g'))) AS digest
+            FROM paragraphs p JOIN documents d USING (doc_id)),
         ranked AS (
-            SELECT *, len(string_split(n, ' ')) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY n ORDER BY doc_id, pos) > 1 AS cut FROM units)
-        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS text,
-               count(*) FILTER (cut)::INT AS n_removed,
-               '[' || coalesce(string_agg('{{"start":' || start_at::BIGINT || ',"end":' || (start_at + length(line))::BIGINT || '}}', ',' ORDER BY pos) FILTER (cut), '') || ']' AS removed_spans
-        FROM ranked GROUP BY doc_id""",
+            SELECT *, first_value(doc_id) OVER w AS f_doc, first_value(last) OVER w AS f_last
+            FROM named WINDOW w AS (PARTITION BY digest ORDER BY doc_id, pos)),
+        own AS (SELECT *, first_value(last) OVER (PARTITION BY digest, doc_id ORDER BY pos) AS o_last FROM ranked),
+        removed AS (SELECT doc_id, pos, last, a, b FROM own WHERE doc_id <> f_doc OR pos > o_last),
+        edges AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS apart FROM removed),
+        spans AS (
+            SELECT doc_id, min(a) AS a, max(b) AS b
+            FROM (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM edges) GROUP BY doc_id, k),
+        kept AS (SELECT m.* FROM measured m ANTI JOIN spans s ON s.doc_id = m.doc_id AND m.a >= s.a AND m.b <= s.b),
+        texts AS (SELECT doc_id, string_agg(unit, '' ORDER BY pos) AS text FROM kept GROUP BY doc_id),
+        gone AS (
+            SELECT doc_id, count(*)::INT AS n, '[' || string_agg('{"start":' || a::BIGINT || ',"end":' || b::BIGINT || '}', ',' ORDER BY a) || ']' AS removed
+            FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(g.n, 0) AS n_removed, coalesce(g.removed, '[]') AS removed_spans
+        FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN gone g USING (doc_id)""",
     "op4_warc": """
         WITH p AS (
             SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

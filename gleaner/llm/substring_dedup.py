@@ -1,77 +1,172 @@
-"""Substring dedup: lines are normalised and hashed, digests are grouped over all documents, the earliest stays."""
+"""Substring dedup: paragraphs of neighbouring units are normalised and hashed, the earliest of each digest stays.
+
+A unit is a line, cut further behind punctuation that white space follows, so that a passage which begins or ends inside a
+line or sentence still holds whole units. Every unit begins a paragraph: itself and as many units behind it as it takes to
+reach ``MIN_WORDS`` words. A unit of that many words is its own paragraph; shorter ones (headings, list items, hard-wrapped
+lines) count together. Digests of all paragraphs of all documents are grouped, and a paragraph that repeats an earlier one
+is removed with all its units. Whatever is removed stays at an earlier place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import SPACES, Scratch
+from .common import Scratch
 
-#: A repeated line of fewer words (a heading, "All rights reserved.") is no passage and stays where it is.
+#: Words of the shortest passage that is removed.
 MIN_WORDS = 20
 
-
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
-
-
-def _words(normal: Column) -> Column:
-    return F.length(normal) - F.length(F.translate(normal, " ", "")) + 1
-
-
-def line_units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``doc_id, pos, digest`` of every line of at least ``min_words`` words; positions count all lines from 0."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    normal = lines.select("doc_id", "pos", _normal(F.col("line")).alias("n")).where(_words(F.col("n")) >= min_words)
-    return normal.select("doc_id", "pos", F.unhex(F.md5("n")).alias("digest"))
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, removed``: the ascending line numbers in each document that repeat an earlier unit.
-
-    Rank is (doc_id, line number). Only digests and positions are shuffled. Counting is pre-aggregated, and a line that a
-    third of the corpus shares meets its first occurrence in a skewed join that Spark splits.
+# Where a unit ends: a line feed, or punctuation with closing signs and one blank behind it.
+_END = r"[.!?,;:][!-/:-@\[-^`{-~]{0,8}[ \t]|\n"
+_BYTES_END, _TEXT_END = re.compile(_END.encode()), re.compile(_END)
+SPAN = "struct<start:int,end:int>"
+
+
+class _Paragraphs:
+    """The paragraphs of a batch of texts: for each its text, first unit, unit behind its last, and 96 bits of digest."""
+
+    def __init__(self, texts: list[bytes | None], min_words: int):
+        units: list[bytes] = []
+        words: list[int] = []
+        sizes = []
+        for text in texts:
+            before, at = len(words), 0
+            if text:
+                for end in chain((m.end() for m in _BYTES_END.finditer(text)), (len(text),)):
+                    if at < end:
+                        unit = text[at:end].split()
+                        at = end
+                        words.append(len(unit))
+                        units.append(b" ".join(unit))
+            sizes.append(len(words) - before)
+        size, last = np.array(sizes, np.int64), np.cumsum(np.array(sizes, np.int64))
+        upto = np.concatenate(([0], np.cumsum(np.array(words, np.int64))))
+        full = np.flatnonzero(np.diff(upto))  # units without words begin and change no paragraph
+        text_of = np.repeat(np.arange(len(texts)), size)[full]
+        end = np.searchsorted(upto, upto[full] + min_words)
+        whole = end <= last[text_of]
+        start, end, self.text = full[whole], end[whole], text_of[whole]
+        spelled = b" ".join([units[k] for k in full.tolist()])
+        lengths = np.array([len(units[k]) for k in full.tolist()], np.int64)
+        behind = np.cumsum(lengths + 1) - 1  # in spelled, of the units with words
+        rank = np.concatenate(([0], np.cumsum(np.diff(upto) > 0)))
+        first, final = rank[start], rank[end] - 1
+        view = memoryview(spelled)
+        digests = [xxh3_128_digest(view[a:b]) for a, b in zip((behind - lengths)[first].tolist(), behind[final].tolist(), strict=True)]
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        self.high, self.low = halves[:, 0], (halves[:, 1] >> 32).astype(np.int32)
+        base = (last - size)[self.text]
+        self.start, self.end = start - base, end - base
+
+    def again(self) -> np.ndarray:
+        """Paragraphs that repeat an earlier one of their own text without overlapping it."""
+        order = np.lexsort((self.start, self.low, self.high, self.text))
+        text, high, low = self.text[order], self.high[order], self.low[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (text[1:] != text[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        out = np.zeros(len(order), bool)
+        out[order] = self.start[order] >= self.end[first]
+        return out
+
+
+def _encode(texts: pa.Array) -> list[bytes | None]:
+    return [t if t is None else t.lower().encode("utf-8", "replace") for t in texts.to_pylist()]
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``high, low, doc_id, pos, again`` of every paragraph: its digest, first unit, and whether its text has it before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                p = _Paragraphs(_encode(batch.column("text")), min_words)
+                columns = [pa.array(p.high), pa.array(p.low), batch.column("doc_id").take(pa.array(p.text)), pa.array(p.start.astype(np.int32)), pa.array(p.again())]
+                yield pa.RecordBatch.from_arrays(columns, ["high", "low", "doc_id", "pos", "again"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, f"high long, low int, doc_id {docs.schema[id_col].dataType.simpleString()}, pos int, again boolean")
+
+
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, pos, high``: the first units of all paragraphs that repeat an earlier one, in no order, and their digests.
+
+    Rank is (doc_id, unit). Only digests and positions are shuffled. Counting is pre-aggregated, and a paragraph that a third
+    of the corpus shares meets its first occurrence in a skewed join that Spark splits.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
-    units = line_units(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_words)
-    first = (
-        units.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", F.col("first.doc_id").alias("f_doc"), F.col("first.pos").alias("f_pos"))
-    )
-    first = scratch.table(first, "first")  # written, so that Spark can split the hot side of the join
-    later = units.join(first, "digest").where("doc_id <> f_doc or pos <> f_pos")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    found = paragraphs(docs, id_col, text_col, min_words)
+    first = found.groupBy("high", "low").agg(F.min("doc_id").alias("f_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that Spark can split the hot side of the join
+    first = Scratch(docs.sparkSession, "passages").table(first.select("high", "low", "f_doc"), "first")
+    later = found.join(first, ["high", "low"]).where("doc_id <> f_doc or again")
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "high")).alias("cut"))
+
+
+def _without(text: str, wanted: dict[int, set[int]], min_words: int) -> tuple[str, list[dict[str, int]]]:
+    """A text without the paragraphs that begin at some units and have their digests, and the spans that went."""
+    p = _Paragraphs(_encode(pa.array([text])), min_words)
+    ends = [m.end() for m in _TEXT_END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    spans: list[dict[str, int]] = []
+    for start, end, high in zip(p.start.tolist(), p.end.tolist(), p.high.tolist(), strict=True):
+        if high in wanted.get(start, ()):
+            a, b = ends[start - 1] if start else 0, ends[end - 1]
+            if spans and a <= spans[-1]["end"]:
+                spans[-1]["end"] = max(b, spans[-1]["end"])
+            else:
+                spans.append({"start": a, "end": b})
+    at, kept = 0, []
+    for s in spans:
+        kept.append(text[at : s["start"]])
+        at = s["end"]
+    return "".join([*kept, text[at:]]), spans
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with cleaned text, and ``n_removed``, ``removed_spans`` (offsets in the original text).
 
-    A unit is a line (between line feeds), normalised by lower case and squeezed, trimmed white space. A removed line goes
-    with its line feed. Spans are ``[start, end)`` in code points, ascending.
+    Units are normalised by lower case and single spaces. Removed paragraphs that touch or overlap are one span; spans are
+    ``[start, end)`` in code points, ascending and apart, and hold whole units with the blank or line feed that ends each.
+    A paragraph that repeats one of its own document goes too, unless both overlap. Text of fewer than ``min_words`` words
+    between other text stays, however often it repeats.
 
-    Null text stays null with nothing removed, empty text stays empty. Rows that repeat an id share their line numbers, so
-    the same lines go from each of them. Rows with a null id are left alone. An empty table gives an empty result. The
-    column names ``n_removed`` and ``removed_spans`` are replaced if the input has them.
+    Null text stays null with nothing removed, empty text stays empty. Rows that repeat an id count as one document: what
+    they share with each other at the same place stays in each. Rows with a null id are left alone. An empty table gives an
+    empty result. The column names ``n_removed`` and ``removed_spans`` are replaced if the input has them.
     """
     docs = docs.drop("n_removed", "removed_spans")
-    cut = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__cut"))
+    cut = repeated_paragraphs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"))
+
+    def remove(texts: pa.Array, starts: pa.Array, highs: pa.Array) -> pa.Array:
+        out = []
+        for text, at, of in zip(texts, starts, highs, strict=True):
+            if not text.is_valid or not at.is_valid:
+                out.append(None)
+                continue
+            wanted: dict[int, set[int]] = {}
+            for k, h in zip(at.values.to_pylist(), of.values.to_pylist(), strict=True):
+                wanted.setdefault(k, set()).add(h)
+            kept, spans = _without(text.as_py(), wanted, min_words)
+            out.append({"text": kept, "spans": spans})
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(span))]))
+
+    remove_udf = F.arrow_udf(remove, f"struct<text:string,spans:array<{SPAN}>>")
     joined = docs.join(cut, docs[id_col] == cut["__id"], "left")
-    lines, text = F.split(text_col, "\n"), F.col(text_col)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__cut", i)), "\n")
-    span = "struct<start:int,end:int>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(f"array<{span}>").alias("spans"))
-
-    def walk(acc: Column, line: Column) -> Column:
-        end = acc["at"] + F.length(line)
-        here = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        spans = F.when(F.array_contains("__cut", acc["i"]), F.concat(acc["spans"], here)).otherwise(acc["spans"])
-        return F.struct((end + 1).alias("at"), (acc["i"] + 1).alias("i"), spans.alias("spans"))
-
-    spans = F.when(F.col("__cut").isNotNull(), F.aggregate(lines, start, walk, lambda a: a["spans"])).otherwise(F.array().cast(f"array<{span}>"))
-    return joined.select(
-        *[F.when(F.col("__cut").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).alias("n_removed"),
-        spans.alias("removed_spans"),
+    hit = F.when(F.col("__cut").isNotNull(), F.col(text_col))
+    done = joined.withColumn("__done", remove_udf(hit, F.col("__cut.pos"), F.col("__cut.high")))
+    text = F.when(F.col("__done").isNull(), F.col(text_col)).otherwise(F.col("__done.text"))
+    spans = F.coalesce("__done.spans", F.array().cast(f"array<{SPAN}>"))
+    return done.select(
+        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.size(spans).alias("n_removed"), spans.alias("removed_spans")
     )

@@ -1,6 +1,8 @@
 """Exact, substring and near dedup against brute force on small tables."""
 
+import itertools
 import random
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,39 +106,107 @@ def test_exact_groups_tell_colliding_digests_apart(spark):
     assert all(r["keep_id"] == r["doc_id"] % 3 and r["group_size"] == 4 for r in got)
 
 
-def brute_lines(rows, min_words):
+def brute_units(text):
+    """Units with their trailing blank, cut by hand."""
+    out, at, k = [], 0, 0
+    while k < len(text):
+        end = None
+        if text[k] == "\n":
+            end = k + 1
+        elif text[k] in ".!?,;:":
+            j = k + 1
+            while j < len(text) and j <= k + 8 and text[j] in string.punctuation and text[j] != "_":
+                j += 1
+            if j < len(text) and text[j] in " \t":
+                end = j + 1
+        if end:
+            out.append(text[at:end])
+            at = k = end
+        else:
+            k += 1
+    return out + [text[at:]] * (at < len(text))
+
+
+def brute_passages(rows, min_words):
+    """Rows of ``id, text, spans`` by comparing the words of paragraphs, in the order of ids."""
     seen, out = set(), []
     for i, text in sorted(rows):
-        at, kept, spans = 0, [], []
-        for line in text.split("\n"):
-            n = " ".join(line.lower().split())
-            if len(n.split()) >= min_words and n in seen:
-                spans.append((at, at + len(line)))
+        units = brute_units(text)
+        words = [u.lower().encode().split() for u in units]
+        ends = list(itertools.accumulate(map(len, units)))
+        own, gone = {}, set()
+        for k in range(len(units)):
+            for j in range(k + 1, len(units) + 1):
+                run = tuple(itertools.chain.from_iterable(words[k:j]))
+                if words[k] and len(run) >= min_words:
+                    if run in seen or own.setdefault(run, j) <= k:
+                        gone |= set(range(k, j))
+                    break
+        seen |= set(own)
+        spans = []
+        for k in sorted(gone):
+            if spans and spans[-1][1] == ends[k] - len(units[k]):
+                spans[-1] = spans[-1][0], ends[k]
             else:
-                kept.append(line)
-            if len(n.split()) >= min_words:
-                seen.add(n)
-            at += len(line) + 1
-        out.append((i, "\n".join(kept), spans))
+                spans.append((ends[k] - len(units[k]), ends[k]))
+        out.append((i, "".join(u for k, u in enumerate(units) if k not in gone), spans))
     return out
 
 
+def cleaned(spark, rows, **options):
+    got = substring_dedup(spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA), **options)
+    assert got.columns == ["doc_id", "text", "keep_id", "n_removed", "removed_spans"]
+    assert all(r["n_removed"] == len(r["removed_spans"]) for r in got.collect())
+    return sorted((r["doc_id"], r["text"], [tuple(s) for s in r["removed_spans"]]) for r in got.collect())
+
+
 def test_substring_dedup_equals_brute_force(spark):
     rng = random.Random(2)
-    lines = [" ".join(rng.choices(["alpha", "Béta", "gamma", "delta"], k=rng.randint(1, 9))) for _ in range(60)]
-    rows = [(i, "\n".join(rng.choice([str.upper, str, lambda x: f"  {x} "])(rng.choice(lines)) for _ in range(rng.randint(0, 12)))) for i in range(80)]
-    got = substring_dedup(spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA), min_words=4)
-    assert got.columns == ["doc_id", "text", "keep_id", "n_removed", "removed_spans"]
-    found = sorted((r["doc_id"], r["text"], [tuple(s) for s in r["removed_spans"]]) for r in got.collect())
-    assert found == brute_lines(rows, 4)
+    phrases = [" ".join(rng.choices(["alpha", "Béta", "gamma", "delta\t", "İx"], k=rng.randint(1, 6))) + rng.choice([".", ",", "?!", '."', ""]) for _ in range(40)]
+    rows = []
+    for i in range(90):
+        parts = [rng.choice([str.upper, str, lambda x: f"  {x} "])(rng.choice(phrases)) for _ in range(rng.randint(0, 14))]
+        rows.append((i, "".join(p + rng.choice(["\n", " ", "  ", "\n\n"]) for p in parts)))
+    rows += [(100, "!" * 5000), (101, "a. " * 50), (102, "a. " * 50), (103, "x " * 30)]
+    for words in (1, 4, 9):
+        assert cleaned(spark, rows, min_words=words) == brute_passages(rows, words)
+
+
+def test_substring_dedup_finds_passages_wherever_they_stand(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    prose = lambda n: "".join(word() + rng.choice([" ", " ", " ", " ", ", ", ". ", ".\n"]) for _ in range(n))
+    wrapped = lambda n: "\n".join(" ".join(word() for _ in range(9)) for _ in range(n // 9))
+    passages = [prose(70), wrapped(63), wrapped(45).replace("\n", ".\n"), prose(70).replace("\n", " ")]
+    rows = [(k, prose(80) + p + prose(40)) for k, p in enumerate(passages)]
+    rows += [(10 + k, prose(50).rstrip(",. \n") + " " + p + " " + prose(50)) for k, p in enumerate(passages * 3)]
+    rows += [(50 + k, prose(120)) for k in range(20)]
+    got = {i: (text, spans) for i, text, spans in cleaned(spark, rows)}
+    for i, text in rows:
+        if 10 <= i < 50:
+            passage = passages[(i - 10) % 4]
+            assert sum(b - a for a, b in got[i][1]) > 0.6 * len(passage) and all(text.index(passage) <= a < b <= text.index(passage) + len(passage) for a, b in got[i][1])
+        else:
+            assert got[i] == (text, [])
 
 
 def test_substring_dedup_edges(spark):
     line = " ".join(["word"] * 30)
-    rows = [(None, line, 0), (1, None, 0), (2, "", 0), (3, f"{line}\n{line}", 0), (4, line, 0)]
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {None: (line, 0), 1: (None, 0), 2: ("", 0), 3: (line, 1), 4: ("", 1)}
+    rows = [(None, line, 0), (1, None, 0), (2, "", 0), (3, f"{line}\n{line}", 0), (4, line, 0), (4, line, 0), (5, "q. " + line, 0), (5, "r. s. " + line, 0)]
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(None, line, 0), (1, None, 0), (2, "", 0), (3, line + "\n", 1), (4, "", 1), (4, "", 1), (5, "q. ", 1), (5, "r. s. ", 1)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame([("b", line, "x", 7, 1), ("a", line, "y", 8, 2)], "doc_id string, text string, removed_spans string, n_removed int, high int")
+    got = {r["doc_id"]: r.asDict() for r in substring_dedup(clash).collect()}
+    assert got["a"]["n_removed"] == 0 and got["b"]["text"] == "" and got["b"]["high"] == 1
+
+
+def test_substring_dedup_is_linear_in_long_texts(spark):
+    text = "".join(f"unit {k % 977} of a long text, " for k in range(120_000)) + "! " + "!" * 1_000_000
+    rows = [(1, text, 0), (2, text, 0)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] >= 1 and got[2] >= 1
 
 
 @pytest.mark.parametrize("text, n", [("a b c d e", 1), ("a b c d e f", 2), ("A\x0bb  c", 1), ("é É", 1)])

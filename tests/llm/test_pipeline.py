@@ -4,9 +4,8 @@ import random
 
 import corpus_pipeline
 from gleaner.llm.packing import CAPACITIES
-from gleaner.llm.substring_dedup import MIN_WORDS
 from gleaner.llm.toxicity import features, fit_lexicon
-from test_dedup import brute_components, brute_lines
+from test_dedup import brute_components, brute_passages
 
 
 def corpus():
@@ -14,11 +13,17 @@ def corpus():
     word = lambda: f"w{rng.randrange(3000)}"
     text = lambda n: "\n".join(" ".join(word() for _ in range(rng.randint(5, 40))) for _ in range(n))
     passage = " ".join(word() for _ in range(60))
+    many = "\n".join(" ".join(word() for _ in range(8)) for _ in range(8))
+    prose = "".join(word() + (", " if k % 6 == 5 else " ") for k in range(70))
     rows, labels = [], []
     for i in range(300):
         t = text(rng.randint(1, 6))
         if i % 10 == 3:
             t += "\n" + passage
+        if i % 10 == 6:
+            t = " ".join((t, many, text(1)))
+        if i % 10 == 7:
+            t = " ".join((t, prose, text(1)))
         if i % 10 == 4:
             t = rows[rng.randrange(len(rows))][1]
         if i % 10 == 5:
@@ -51,8 +56,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         first.setdefault(" ".join((t or "").split()) if (t or "").strip() else (t or ""), i)
     exact = {i: clean[i] for i in first.values()}
     near = {i: t for i, t in exact.items() if brute_components(exact)[i] == i}
-    lines = brute_lines([(i, t) for i, t in near.items() if t is not None], MIN_WORDS)
-    want = {i: len(t.split()) for i, t, spans in lines if not spans or t.strip()} | {i: 0 for i, t in near.items() if t is None}
+    left = brute_passages([(i, t) for i, t in near.items() if t is not None], 20)
+    assert sum(bool(spans) for _, _, spans in left) > 40
+    want = {i: len(t.split()) for i, t, spans in left if not spans or t.strip()} | {i: 0 for i, t in near.items() if t is None}
     got, bins = {}, {}
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_tokens"]
