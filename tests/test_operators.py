@@ -1,16 +1,19 @@
 """Entity resolution, rules, matching, ranking and state on small tables."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner import values as V
+from gleaner.functions import text as T
 from gleaner.operators import matching, ranking, resolve, rules, state
 from gleaner.sources.postings import COLUMNS, SCHEMA, conform
 from gleaner.tables import Scratch, components
 
 TEXT = " ".join(f"word{k}" for k in range(120))
+LONG = "Principal engineer of very large distributed storage systems and their many clients"
 OTHER = " ".join(f"other{k}" for k in range(120))
 
 
@@ -43,13 +46,68 @@ def test_both_modes_agree_on_pairs(spark, rows, want):
 def test_replay_by_parts_is_global_first_fit(spark):
     rng = random.Random(12)
     rows = [
-        {"source": rng.choice("abcd"), "company": rng.choice(["Hero", "Delivery Hero", "Hero Labs", "Zeta", "Zeta GmbH", "Omega"]), "title": rng.choice(["Data Lead", "Data Team Lead", "Cook"]), "text": rng.choice([TEXT, OTHER, ""])}
-        for _ in range(60)
+        {"source": rng.choice("abcd"), "company": rng.choice(["Hero", "Delivery Hero", "Hero Labs", "Zeta", "Zeta GmbH", "Omega"]), "title": rng.choice(["Data Lead", "Data Team Lead", "Cook", LONG, LONG[:72]]), "text": rng.choice([TEXT, OTHER, ""])}
+        for _ in range(90)
     ]
     df = postings(spark, rows)
-    keyed = resolve.with_keys(df).withColumn("n_text", F.length("text")).withColumn("n_canon", F.length("canon")).withColumn("n_title", F.length("title"))
-    whole = [r.asDict() | {"company_words": tuple(r["company_words"])} for r in keyed.collect()]
-    assert {r["seq"]: r["cluster_id"] for r in resolve.clusters_by_replay(df).collect()} == dict(resolve._first_fit(whole))
+    assert {r["seq"]: r["cluster_id"] for r in resolve.clusters_by_replay(df).collect()} == first_fit(spark, rows)
+
+
+def first_fit(spark, rows):
+    """The rule as it reads, over a list of clusters; names and texts are compared by the columns that the library has for them."""
+    keyed = [r.asDict() for r in resolve.with_keys(postings(spark, rows)).orderBy("seq").collect()]
+    names = spark.createDataFrame([(a["seq"], b["seq"], a["company_words"], b["company_words"], a["signature"], b["signature"]) for a in keyed for b in keyed], "a long, b long, x array<string>, y array<string>, s array<long>, t array<long>")
+    pair = {(r["a"], r["b"]): r for r in names.select("a", "b", T.company_match(F.col("x"), F.col("y")).alias("match"), T.similarity(F.col("s"), F.col("t")).alias("alike")).collect()}
+    pool, out = [], {}
+    for r in keyed:
+        def fits(members, rule):
+            seed, fullest = members[0], max(members, key=lambda m: len(m["text"]))
+            other = all(m["source"] != r["source"] for m in members)
+            match, alike = pair[r["seq"], seed["seq"]]["match"], pair[r["seq"], fullest["seq"]]["alike"]
+            if rule == "key":
+                return any(m["match_key"] == r["match_key"] for m in members)
+            if rule == "title":
+                return seed["canon"] == r["canon"] and (match == "strong" or (match == "weak" and other and (alike or 0) >= 0.6))
+            if seed["collapsed"] != r["collapsed"] or not other:
+                return False
+            short = min([r, *members], key=lambda m: len(m["canon"]))
+            if len(short["title"].strip()) >= 70 and (seed["canon"].startswith(r["canon"]) or r["canon"].startswith(seed["canon"])):
+                return alike is None or alike >= 0.6
+            a, b = set(seed["canon"].split()), set(r["canon"].split())
+            return len(a & b) / len(a | b) >= 0.6 and (alike or 0) >= 0.9
+
+        found = next((m for rule in ("key", "title", "company") for m in pool if fits(m, rule)), None)
+        if found is None:
+            pool.append(found := [])
+        found.append(r)
+        out[r["seq"]] = found[0]["seq"]
+    return out
+
+
+def test_signatures_are_crc32_of_shingles(spark):
+    words = [f"word{k}" for k in range(120)]
+    want = sorted({zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(116)})[:64]
+    got = spark.createDataFrame([(" ".join(words),)], "t string").select(T.signature(F.col("t")).alias("s")).first()["s"]
+    assert got == want
+
+
+def test_links_equal_all_pairs(spark):
+    """Blocking loses nothing: links by keys are those of all pairs of openings."""
+    rng = random.Random(5)
+    companies = ["Hero", "Delivery Hero", "Hero Labs", "Hero Labs Group", "DH", "D H", "Heroic", "Global Solutions", "Global", "Solutions", "A B", "Ab", "Herodot Solutions", "Labs"]
+    titles = ["Data Lead", "Data Team Lead", "Senior Data Team Lead", "Cook", "Lead", "Lead Cook of all " + "very " * 12 + "large kitchens", "Lead Cook of all " + "very " * 12 + "lar"]
+    rows = [{"company": rng.choice(companies), "title": rng.choice(titles)} for _ in range(150)]
+    o = resolve._openings(resolve.with_keys(postings(spark, rows)))
+    pairs = o.alias("x").crossJoin(o.alias("y")).where("x.match_key < y.match_key")
+    match = T.company_match(F.col("x.company_words"), F.col("y.company_words"))
+    want = pairs.where("x.canon = y.canon").select("x.match_key", "y.match_key", match.alias("kind")).where("kind <> ''").collect()
+    assert sorted(map(tuple, resolve.title_links(o).collect())) == sorted(map(tuple, want)) != []
+    both = [r for r in pairs.where("x.collapsed = y.collapsed").select(F.col("x.match_key").alias("a"), F.col("y.match_key").alias("b"), F.col("x.canon").alias("s"), F.col("y.canon").alias("t")).collect()]
+    close = {(r["a"], r["b"]) for r in both if len(set(r["s"].split()) & set(r["t"].split())) >= 0.6 * len(set(r["s"].split()) | set(r["t"].split()))}
+    begins = {(r["a"], r["b"]) for r in both if r["s"].startswith(r["t"]) or r["t"].startswith(r["s"])}
+    got = resolve.company_links(o).collect()
+    assert {(r["a"], r["b"]) for r in got if r["shares"]} == close != set()
+    assert {(r["a"], r["b"]) for r in got if r["begins"]} <= begins and any(r["begins"] for r in got)
 
 
 def test_best_fills_gaps_and_ids_stay(spark):
