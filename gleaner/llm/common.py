@@ -1,52 +1,16 @@
-"""Shared helpers of the corpus operators: the scratch folder, connected components, row selection."""
+"""Shared helpers of the corpus operators: the library's tables in the shared folder, white space, held-out rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the contracts of the operators define it.
-SPACES = r"[\x20\x09-\x0D]+"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage is cut and a lost executor loses nothing."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{scratch_root(spark).rstrip('/')}/gleaner/{label}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-
-    def folder(self, name: str) -> str:
-        self._n += 1
-        return f"{self.path}/{self._n:02d}-{name}"
+from ..tables import Scratch, components, delete_folder, scratch_root
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.folder(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+__all__ = ["SPACES", "Scratch", "components", "delete_folder", "held_out", "scratch_root", "squeeze"]
 
-    def discard(self, *tables: DataFrame) -> None:
-        """Delete tables of this scratch that no later step reads."""
-        for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-            delete_folder(self.spark, path)
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+#: ASCII white space, as the contracts of the operators define it.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def squeeze(text: Column) -> Column:
@@ -57,43 +21,3 @@ def squeeze(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows kept from every fit: crc32 of the id as text has remainder 2 by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """``node, component`` of an undirected graph ``a, b``; the component is its smallest node.
-
-    Each round takes the smallest label among neighbours and then the label of that label, so the number of rounds grows
-    with the logarithm of the longest path. Labels are written out after each round. Isolated nodes don't appear.
-    """
-    both = scratch.table(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges"
-    )
-    labels = scratch.table(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")),
-        "labels",
-    )
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        step = scratch.table(step, "step")
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = scratch.table(
-            step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("root", "component")).alias("component")),
-            "labels",
-        )
-        scratch.discard(step, labels)
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, all columns as they are; a null id matches a null id."""
-    wanted = ids.select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__keep"]), "left_semi")

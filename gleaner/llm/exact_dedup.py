@@ -37,3 +37,16 @@ def exact_groups(
     return members.join(groups, ["__h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """The documents of which each text stays once, all columns as they are; edge cases as in ``exact_groups``.
+
+    The smallest id of each group is enough to keep its rows, so digests don't meet the documents again, but for null ids.
+    """
+    text = squeeze(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
+    groups = rows.groupBy(digest(F.col("__text")).alias("__h"), "__text").agg(F.min("doc_id").alias("__keep"))
+    kept = groups.select("__keep", F.when(F.col("__keep").isNull(), F.col("__h")).alias("__of")).distinct()
+    same_text = F.when(F.col(id_col).isNull(), digest(text)).eqNullSafe(kept["__of"])
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]) & same_text, "left_semi")

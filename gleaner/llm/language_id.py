@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -22,7 +22,7 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Labelled rows that a fit reads at most, those with the smallest crc32 of the id, and windows of each.
+#: Labelled rows that a fit reads at most, as many of each language, and windows of each.
 MAX_FIT_ROWS = 3_000
 WINDOWS_OF_A_ROW = 4
 EPOCHS = 6
@@ -137,31 +137,47 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, class_wei
     return g
 
 
-def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_FIT_ROWS) -> Network:
-    """Train on rows that aren't held out and have a language and a text; at most ``max_rows`` are read.
+def fit_network(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_rows: int = MAX_FIT_ROWS,
+    windows_of_a_row: int = WINDOWS_OF_A_ROW,
+) -> Network:
+    """Train on rows that aren't held out and have a language and a text.
 
-    Rows are taken in order of the crc32 of their id. Without any, the network has no labels and every prediction is ``und``.
+    The sample is bounded by ``max_rows`` rows, as many of each language (one at least), and ``windows_of_a_row`` windows
+    drawn from each. Rows are taken in order of the crc32 of their id, so a rare language is learned from all its rows. Only
+    the drawn windows leave the executors. Without any row, the network has no labels and every prediction is ``und``.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = rows.select(key.alias("k"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    bound = rows.select("k", "id").orderBy("k", "id").limit(max_rows).agg(F.max("k")).first()[0]
-    if bound is None:
-        return Network((), [], [], np.zeros((0, 0)), np.zeros(0))
-    sample = rows.where(F.col("k") <= bound).orderBy("k", "id", "text").limit(max_rows).select("lang", "text").collect()
-    rng = np.random.default_rng(11)
-    labels = tuple(sorted({r["lang"] for r in sample}))
-    x, y = [], []
-    for r in sample:
-        w = windows(r["text"])
-        if not ((w != 0) & (w != 32)).any():
-            continue
-        take = rng.permutation(len(w))[:WINDOWS_OF_A_ROW]
-        x.append(w[take])
-        y += [labels.index(r["lang"])] * len(take)
-    if not x:
+    rows = rows.select(key.alias("k"), F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    quota = max(1, max_rows // max(1, counts.count()))
+    # of a frequent language only the keys below some bound can be among the first: twice the quota is expected there
+    near = rows.join(counts, "lang").where(F.col("k") <= F.lit(2.0**32) * F.least(F.lit(1.0), F.lit(2.0 * quota + 100) / F.col("n")))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = []
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text"), strict=True):
+                w = windows(text.as_py())
+                some = ((w != 0) & (w != 32)).any()
+                drawn.append(w[np.random.default_rng([11, k]).permutation(len(w))[:windows_of_a_row]].tobytes() if some else b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("k", "id", "lang")), pa.array(drawn, pa.binary())], ["k", "id", "lang", "drawn"])
+
+    drawn = near.select("k", "id", "lang", "text").mapInArrow(draw, "k long, id string, lang string, drawn binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("k", "id", "drawn"))
+    sample = drawn.withColumn("r", first).where(F.col("r") <= quota).collect()
+    sample = sorted((r["k"], r["id"] or "", r["lang"], bytes(r["drawn"])) for r in sample)
+    labels = tuple(sorted({lang for _, _, lang, _ in sample}))
+    x = [np.frombuffer(d, np.uint8).reshape(-1, WINDOW) for *_, d in sample]
+    y = np.repeat([labels.index(lang) for _, _, lang, _ in sample], [len(w) for w in x]).astype(np.int64)
+    if not len(y):
         return Network((), [], [], np.zeros((0, 0)), np.zeros(0))
-    return train(np.concatenate(x), np.array(y), labels)
+    return train(np.concatenate(x), y, labels)
 
 
 def identify_languages(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

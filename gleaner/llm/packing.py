@@ -15,8 +15,9 @@ from .common import SPACES, Scratch
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Share of the attention term in a sequence's cost; the rest is linear in its length.
 ATTENTION = 0.25
-#: Tokens that one task packs; bins never span tasks.
+#: Tokens that one task packs; bins never span tasks. A piece counts as at least so many tokens there, so rows are bounded too.
 SHARD_TOKENS = 8_000_000
+LEAST_TOKENS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -76,8 +77,8 @@ def pack_documents(
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest, so nothing is dropped.
     Pieces are dealt by a hash of document and piece into shards of about ``shard_tokens`` tokens and each shard is packed
-    by itself, with ids and lengths only; ``bin_id`` is ``shard-bin``. A piece counts as one token at least in the number of
-    shards, and null ids are dealt by a number of their row, so that many empty texts or null ids don't make one large shard.
+    by itself, with ids and lengths only; ``bin_id`` is ``shard-bin``. A piece counts as ``LEAST_TOKENS`` at least in the number
+    of shards, and null ids are dealt by a number of their row, so that many short texts or null ids don't make one large shard.
 
     Null and empty texts have no tokens and give one piece of length 0, which takes no room; if no open
     bin has room, it opens one of the smallest capacity. Ties go by id, then piece; rows that repeat an id are packed each.
@@ -90,7 +91,7 @@ def pack_documents(
     pieces = lengths.select(
         "doc_id", "n", "salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / top) - 1).cast("int"))).alias("piece")
     ).select("doc_id", "salt", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("n_tokens"))
-    total = lengths.agg(F.sum(F.greatest("n", F.lit(1)))).first()[0] or 0
+    total = lengths.agg(F.sum(F.greatest("n", F.lit(LEAST_TOKENS)))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     kind = docs.schema[id_col].dataType.simpleString()
 

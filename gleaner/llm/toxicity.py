@@ -36,7 +36,6 @@ _LETTERS, _LETTERS_LIKE = CYRILLIC + GREEK + FULL_WIDTH, CYRILLIC_LIKE + GREEK_L
 
 #: Labelled rows that a fit reads at most, those with the smallest crc32 of the id.
 MAX_FIT_ROWS = 20_000
-MAX_TERMS = 3_000
 MIN_FAMILIES = 3
 MIN_WEIGHT = 3.0
 PREFIXES = range(4, 9)
@@ -91,9 +90,16 @@ def features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float,
             covered.append((at, end))
         else:
             best[at] = max(w, best.get(at, 0.0))
-    for a, b in covered:
-        for at in [x for x in best if a <= x < b]:
-            del best[at]
+    if covered:
+        covered.sort()
+        upto, k, kept = -1, 0, {}
+        for at in sorted(best):
+            while k < len(covered) and covered[k][0] <= at:
+                upto = max(upto, covered[k][1])
+                k += 1
+            if at >= upto:
+                kept[at] = best[at]
+        best = kept
     total = sum(best.values())
     return math.log1p(total), math.log1p(100 * total / max(20, folded.count(" ") - 1)), len(best)
 
@@ -123,7 +129,8 @@ def fit_lexicon(
 ) -> Lexicon:
     """Learn entries, weights, exception phrases and the curve from labelled rows that aren't held out.
 
-    At most ``max_rows`` labelled rows are read. A term's weight is its smoothed log-odds between the classes, counted in
+    At most ``max_rows`` labelled rows are read, which also bounds what comes to the driver: their terms, pairs and features. A
+    term's weight is its smoothed log-odds between the classes, counted in
     families of documents (by one minimum hash of three-word shingles) so that copies of one text don't vouch for each other.
     A term needs so many toxic families that chance alone would hardly yield one such among all terms. Word beginnings are
     counted from the word table. A pair of words with an entry inside that clean families use more than toxic
@@ -155,14 +162,14 @@ def fit_lexicon(
     chance = sizes[1] / (sizes[0] + sizes[1])
     least = max(MIN_FAMILIES, math.ceil(math.log(max(2, terms.count())) / math.log(1 / chance)))
     found = terms.withColumn("w", odds).where((F.col("a") >= least) & (F.col("w") >= MIN_WEIGHT) & (F.col("b") * 10 <= F.col("a")))
-    weights = {r["term"]: r["w"] for r in found.orderBy(F.desc("a"), "term").limit(MAX_TERMS).collect()}
+    weights = {r["term"]: r["w"] for r in found.orderBy("term").collect()}
     lexicon = Lexicon(weights, exceptions)
     if not weights:
         return lexicon
-    spots = _spots(rows, lexicon).select("y", F.explode("pairs").alias("pair")).groupBy("pair")
-    spots = spots.agg(F.count_if(F.col("y") == 0).alias("clean"), F.count_if(F.col("y") == 1).alias("toxic"))
+    spots = _spots(rows, lexicon).select("y", "family", F.explode("pairs").alias("pair")).groupBy("pair")
+    spots = spots.agg(*[F.countDistinct(F.when(F.col("y") == v, F.col("family"))).alias(n) for v, n in ((0, "clean"), (1, "toxic"))])
     spots = spots.where((F.col("clean") >= MIN_FAMILIES) & (F.col("clean") > 4 * F.col("toxic")))
-    learned = tuple(sorted(r["pair"] for r in spots.select("pair").limit(MAX_TERMS).collect()))
+    learned = tuple(sorted(r["pair"] for r in spots.select("pair").collect()))
     lexicon = Lexicon(weights, exceptions + learned)
     data = np.array([tuple(r) for r in _spots(rows, lexicon).select("f1", "f2", "y").collect()], float)
     scratch.discard(rows, terms)
@@ -179,11 +186,11 @@ def _spots(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
             found = [features(t, automaton) for t in texts]
             pairs = [sorted(_pairs(t, automaton)) if n else [] for t, (_, _, n) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), pa.array(pairs, pa.list_(pa.string()))],
-                ["y", "f1", "f2", "pairs"],
+                [batch.column("y"), batch.column("family"), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), pa.array(pairs, pa.list_(pa.string()))],
+                ["y", "family", "f1", "f2", "pairs"],
             )
 
-    return rows.select("y", "t").mapInArrow(spot, "y int, f1 double, f2 double, pairs array<string>")
+    return rows.select("y", "family", "t").mapInArrow(spot, "y int, family long, f1 double, f2 double, pairs array<string>")
 
 
 def _pairs(folded: str, automaton: ahocorasick.Automaton) -> set[str]:

@@ -2,8 +2,8 @@
 
 An archive is a folder of gzip files, each a plain sequence of WARC/1.1 records. Records are composed by Spark expressions
 and written by its text writer with the record separator of the format as line separator, so any file system that Spark
-writes to will do. Reading takes each file as one binary row and follows the ``Content-Length`` of the records; files are
-bounded by ``RECORDS_OF_A_FILE``.
+writes to will do. Reading takes each file as one binary row and follows the ``Content-Length`` of the records. Files are
+bounded in bytes: records lie in folders by their size, and the larger the fewer share a file, down to one.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, delete_folder
 
-RECORDS_OF_A_FILE = 1_000
+#: Payloads up to so many bytes lie in files of at most so many records: 64 MiB a file, or one record.
+FILES = ((1 << 16, 1_000), (1 << 20, 64), (1 << 24, 4), (1 << 62, 1))
+#: Payload bytes of a batch of records that are read.
+BATCH_BYTES = 8 << 20
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 100
 #: Of records whose pages carry no time of capture.
@@ -43,11 +46,23 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
+def size_class(payload_bytes: Column) -> Column:
+    """The place in ``FILES`` of a payload."""
+    return F.array_position(F.array(*[payload_bytes <= most for most, _ in FILES]), True).cast("int") - 1
+
+
 def write_archive(records: DataFrame, path: str) -> None:
     """Write ``page_id, url, payload, payload_digest, refers_to`` (a page id, null for responses) as WARC records.
 
-    ``payload`` is a string, stored in UTF-8; of a revisit only the HTTP headers are stored.
+    ``payload`` is a string, stored in UTF-8; of a revisit only the HTTP headers are stored. The records are read once to
+    see which size classes there are, and once for each of them.
     """
+    size = size_class(F.octet_length("payload"))
+    for (k,) in sorted(records.select(size).distinct().collect()):
+        _write_class(records.where(size == k), path, k)
+
+
+def _write_class(records: DataFrame, path: str, k: int) -> None:
     revisit = F.col("refers_to").isNotNull()
     size = F.octet_length("payload")
     http = F.concat(F.lit(HTTP), size.cast("string"), F.lit(END))
@@ -69,7 +84,7 @@ def write_archive(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     writer = records.select(F.concat(head, block).alias("value")).write.option("lineSep", END)
-    writer.option("maxRecordsPerFile", RECORDS_OF_A_FILE).option("compression", "gzip").text(path)
+    writer.option("maxRecordsPerFile", FILES[k][1]).option("compression", "gzip").text(f"{path}/size={k}")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -99,8 +114,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     names = ["page_id", "url", "record_type", "record_id", "refers_to_id", "payload_digest", "payload_bytes", *["payload"] * payloads]
     kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), *[pa.string()] * payloads]
 
-    def rows(content: bytes) -> list[tuple]:
-        out = []
+    def rows(content: bytes) -> Iterator[tuple[int, tuple]]:
         for h, block in parse_records(zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content):
             digest, payload = h["warc-payload-digest"].removeprefix("sha256:"), None
             if h["warc-type"] == "response":
@@ -109,17 +123,26 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                     raise ValueError(f"record {h['warc-record-id']} doesn't match its digest")
             page = int(h["x-page-id"]) if "x-page-id" in h else None
             row = (page, h.get("warc-target-uri"), h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), digest, None if payload is None else len(payload))
-            out.append((*row, payload.decode() if payload is not None else None) if payloads else row)
-        return out
+            yield len(block), (*row, payload.decode() if payload is not None else None) if payloads else row
+
+    def together(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             for content in batch.column("content"):
-                if found := rows(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+                for size, row in rows(content.as_py()):
+                    found.append(row)
+                    held += size
+                    if held > BATCH_BYTES:
+                        yield together(found)
+                        found, held = [], 0
+        if found:
+            yield together(found)
 
     schema = "page_id long, url string, record_type string, record_id string, refers_to_id string, payload_digest string, payload_bytes long" + ", payload string" * payloads
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
     return files.mapInArrow(run, schema)
 
 
@@ -132,9 +155,10 @@ def originals(headers: DataFrame) -> DataFrame:
 def dedup_archive(spark: SparkSession, source: str, target: str, scratch: Scratch) -> None:
     """Write the records of one archive to another, with repeated payloads as revisits of the record with the smallest id.
 
-    Headers alone are shuffled by digest; the decisions meet the records by page id.
+    Headers alone are shuffled by digest. The decisions on revisits meet the records by page id: while they are small enough
+    to broadcast, payloads don't move; beyond, each payload is shuffled once.
     """
-    headers = read_archive(spark, source)
+    headers = scratch.table(read_archive(spark, source), "headers")
     revisits = (
         headers.where(f"payload_bytes >= {MIN_REVISIT_BYTES}")
         .join(scratch.table(originals(headers), "originals"), "payload_digest")
@@ -143,10 +167,11 @@ def dedup_archive(spark: SparkSession, source: str, target: str, scratch: Scratc
         .distinct()
     )
     revisits = scratch.table(revisits, "revisits")
-    records = read_archive(spark, source, payloads=True)
-    match = records["page_id"].eqNullSafe(revisits["r_page"]) & (records["payload_digest"] == revisits["r_digest"])
-    fresh = records.join(revisits, match, "left").select("page_id", "url", "payload", "payload_digest", "refers_to")
-    write_archive(fresh, target)
+    for (k,) in sorted(headers.select(size_class(F.col("payload_bytes"))).distinct().collect()):
+        records = read_archive(spark, f"{source}/size={k}", payloads=True)
+        match = records["page_id"].eqNullSafe(revisits["r_page"]) & (records["payload_digest"] == revisits["r_digest"])
+        fresh = records.join(revisits, match, "left").select("page_id", "url", "payload", "payload_digest", "refers_to")
+        _write_class(fresh, target, k)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -161,12 +186,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def archive_pages(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", target: str | None = None
+) -> DataFrame:
     """Archive pages, deduplicate the archive, read it back and resolve its revisits; one row per page.
 
-    Null html is an empty payload; a null url has no target header. Of equal payloads of at least 100 bytes the rows with the
-    smallest page id are responses (all of them if the id repeats), the others revisit; among null ids only, all are
-    responses. An empty table gives an empty result. Extra columns are ignored. Ids are integers.
+    The deduplicated archive stays in ``target``; without one, it is deleted once it has been read back. Null html is an
+    empty payload; a null url has no target header. Of equal payloads of at least 100 bytes the rows with the smallest page
+    id are responses (all of them if the id repeats), the others revisit; among null ids only, all are responses. An empty
+    table gives an empty result and no archive. Extra columns are ignored. Ids are integers.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
@@ -175,7 +203,13 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"),
         F.sha2(payload, 256).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"),
     )
-    raw, deduped = scratch.folder("raw"), scratch.folder("deduped")
+    if rows.isEmpty():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    raw, deduped = scratch.folder("raw"), target or scratch.folder("deduped")
     write_archive(rows, raw)
     dedup_archive(spark, raw, deduped, scratch)
-    return resolve_revisits(scratch.table(read_archive(spark, deduped), "records"))
+    delete_folder(spark, raw)
+    records = scratch.table(read_archive(spark, deduped), "records")
+    if not target:
+        delete_folder(spark, deduped)
+    return resolve_revisits(records)

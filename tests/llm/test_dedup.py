@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import minhash_dedup as M
 from gleaner.llm.common import components, Scratch
-from gleaner.llm.exact_dedup import exact_groups
+from gleaner.llm.exact_dedup import exact_dedup, exact_groups
 from gleaner.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id long, text string, keep_id long"  # keep_id clashes with a result's name
@@ -100,6 +100,14 @@ def test_exact_groups(spark):
     assert exact_groups(df.where("false")).count() == 0
 
 
+def test_exact_dedup_keeps_what_groups_keep(spark):
+    rows = [(5, "a  b", 1), (3, "a\tb", 2), (4, None, 3), (6, "", 4), (None, "q", 5), (None, "a b", 6), (1, "c", 7), (1, "c", 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = exact_dedup(df)
+    assert kept.columns == df.columns and sorted(r["keep_id"] for r in kept.collect()) == [2, 3, 5, 7, 8]
+    assert exact_dedup(df.where("false")).count() == 0
+
+
 def test_exact_groups_tell_colliding_digests_apart(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}", 0) for i in range(12)], SCHEMA)
     got = exact_groups(df, digest=lambda c: F.lit("same")).collect()

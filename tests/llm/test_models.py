@@ -77,6 +77,43 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - down) / (2 * h), abs=1e-4)
 
 
+def test_tables_equal_direct_convolution():
+    """Prediction by lookup tables against a plain convolution over embeddings, for every window of a text."""
+    rng = np.random.default_rng(3)
+    labels = ("a", "b")
+    x = rng.integers(97, 123, (40, L.WINDOW)).astype(np.uint8)
+    x[20:] = rng.integers(200, 220, (20, L.WINDOW))
+    caught = {}
+    keep, L._gradients = L._gradients, lambda p, *rest: caught.setdefault("p", p) and keep(p, *rest)
+    try:
+        net = L.train(x, np.repeat([0, 1], 20), labels)
+    finally:
+        L._gradients = keep
+    p = caught["p"]
+    text = "Wörter und words, 12 of all kinds " * 30
+    mean, weight = np.zeros(2), 0.0
+    for window in L.windows(text):
+        pooled = []
+        for w in L.WIDTHS:
+            best = np.full(L.FILTERS, -np.inf)
+            for at in range(L.WINDOW - w + 1):
+                total = sum(p["E"][window[at + k]] @ p[f"W{w}"].reshape(w, L.EMBEDDING, L.FILTERS)[k] for k in range(w))
+                best = np.maximum(best, total)
+            pooled.append(np.maximum(best + p[f"b{w}"], 0))
+        z = np.concatenate(pooled) @ p["O"] + p["o"]
+        q, n = np.exp(z - z.max()), ((window != 0) & (window != 32)).sum()
+        mean, weight = mean + n * q / q.sum(), weight + n
+    label, score = net.predict(text)
+    assert label == labels[int(mean.argmax())] and score == pytest.approx(mean.max() / weight, abs=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"keit schung {i} der und die ", "de", "") for i in range(4000)] + [(9000 + i, f"ción los que {i} y mente ", "es", "") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    net = L.fit_network(df, max_rows=100)
+    assert net.labels == ("de", "es") and net.predict("los que ción mente y los")[0] == "es"
+
+
 def test_held_out_languages(spark):
     rng = random.Random(10)
     parts = {"aa": ["ing", "the", "tion", "ou", "er"], "bb": ["sch", "keit", "ung", "ei", "ß"], "cc": ["ción", "os", "ñ", "mente", "ll"]}

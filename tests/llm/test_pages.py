@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -30,7 +31,7 @@ def brute_warc(rows):
 
 
 def test_archive_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(W, "RECORDS_OF_A_FILE", 7)
+    monkeypatch.setattr(W, "FILES", ((99, 7), (300, 3), (1 << 62, 1)))
     rng = random.Random(11)
     bodies = ["", None, "x" * 99, "x" * 100, "é" * 50, "a\r\n\r\nWARC/1.1\r\n" * 12, "\x00 null" * 30, "z" * 2_000_000]
     rows = [(i, f"http://h{i % 3}.example/{i}", rng.choice(bodies)) for i in range(60)]
@@ -48,6 +49,17 @@ def test_archive_edges(spark):
     assert W.archive_pages(frame(spark, [])).count() == 0
 
 
+def test_archive_files_are_bounded(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 2_000_000) for i in range(5)] + [(i, "u", f"{i} " * 300) for i in range(10, 40)]
+    got = W.archive_pages(frame(spark, rows), target=f"file://{tmp_path}/kept").collect()
+    assert len(got) == 35 and all(r["record_type"] == "response" for r in got)
+    sizes = [len(zlib.decompress(p.read_bytes(), 31)) for p in tmp_path.rglob("*.gz")]
+    assert 16 << 20 < sum(sizes) and max(sizes) < 17 << 20
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["size=0", "size=2"] and len(list((tmp_path / "kept/size=2").glob("*.gz"))) > 1
+    again = W.read_archive(spark, f"file://{tmp_path}/kept", payloads=True)
+    assert {r["page_id"]: r["payload"] for r in again.collect()} == {i: h for i, _, h in rows}
+
+
 def test_payloads_come_back(spark):
     scratch = Scratch(spark, "t")
     html = ["<p>a</p>", "tail\r\n\r\n", "\r\n\r\nhead", ""]
