@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a new temporary one, which only
+    does for a driver that runs all tasks itself."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
         spark.conf.set("spark.checkpoint.dir", root)
