@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import keep_ids, scratch_root
-from gleaner.llm.exact_dedup import exact_groups
+from gleaner.llm import exact_dedup as exact
+from gleaner.llm.common import delete_folder, scratch_root
 from gleaner.llm.minhash_dedup import near_dedup
 from gleaner.llm.packing import pack_documents
 from gleaner.llm.substring_dedup import substring_dedup
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    return keep_ids(docs, exact_groups(docs).where("kept"))
+    return exact.exact_dedup(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated long lines go from all but their first document; documents of which nothing is left go."""
+    """Repeated passages go from all but their first place; documents of which nothing is left go."""
     cleaned = substring_dedup(docs)
     cleaned = cleaned.where("n_removed = 0 or length(trim(text)) > 0")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -55,11 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again, all but the last are
+    deleted when the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{scratch_root(spark).rstrip('/')}/gleaner/pipeline-{uuid.uuid4().hex[:12]}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete_folder(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
