@@ -1,20 +1,23 @@
-"""BPE encoding and decoding by a tokenization automaton.
-
-The automaton starts as the byte trie of a set of pre-split words: state 0 is the start and each state has one incoming arc,
-labelled with a byte token. Then the merges are applied in order of rank, each as a gadget: where an arc labelled ``left``
-runs into a state and an arc labelled ``right`` leaves it, the second arc's target is moved to the first arc's source under
-the label of the merged token. Other branches through the middle state stay. The result is deterministic: following a word's
-bytes through the table reaches one state, and the arcs above it carry the word's tokens. Decoding emits arc labels.
-
-An automaton for all words at once would need a transition for almost every pair of the 50,000 tokens, so it is compiled for
-the words at hand, and further words are compiled in as batches bring them.
+"""BPE encoding and decoding by a tokenization automaton, compiled once from the merges of a tokenizer file.
+
+A token sequence is what BPE gives for its bytes exactly if no merge ever crosses the border of two neighbours. The automaton
+whose states are tokens, with an arc to each token that may follow, therefore accepts the right sequences and no others. It
+is what gadgets make, applied merge by merge in order of rank: the gadget of ``left right -> merged`` takes the arc ``right``
+off the state ``left``, gives every state with an arc ``left`` an arc ``merged``, and starts the state ``merged`` as a copy of
+``right``. Between most of the 50,000 tokens there is an arc, so the table isn't written out: whether an arc survives follows
+from the gadgets of the tokens at either side of it alone, in order of rank, and is compiled into the table when first asked.
+
+Bytes are read by a second table, the trie of all tokens. A word is read by the longest token that an arc of the state leads
+to; where none does, the last token gives way to a shorter one. As a word and each beginning of it have one right sequence
+only, a place that was given up once is never tried again, so reading is linear. Decoding emits arc labels.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import math
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 from struct import pack
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 
 # Fixed value: the pre-split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose tokens a task remembers before it starts a new table.
-MAX_WORDS = 800_000
-#: Words of one trie: few enough to stay in a processor's cache.
-CHUNK = 1_000
+#: Bytes of words and tokens that a task remembers before it starts anew, and token arcs that it holds.
+MAX_KNOWN = 160_000_000
+MAX_ARCS = 4_000_000
+#: Longer words aren't remembered.
+LONG_WORD = 64
 PAIR = 1 << 20  # above all token ids and ranks
 
 
@@ -62,97 +66,111 @@ class Vocabulary:
 
 
 class Automaton:
-    """The deterministic automaton of the words given so far."""
+    """Byte trie and token arcs of a vocabulary; arcs are compiled as pairs are met, up to ``MAX_ARCS`` at a time."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.merge = {pair: m // PAIR for pair, m in vocabulary.merge.items()}
+        self.rank = {t: -1 for t in vocabulary.byte}
+        left: dict[int, int] = {}
+        right: dict[int, int] = {}
+        for pair, m in vocabulary.merge.items():
+            if self.rank.setdefault(m % PAIR, m // PAIR) == m // PAIR:
+                left[m % PAIR], right[m % PAIR] = pair // PAIR, pair % PAIR
+        # what stands at a token's left and right border, from its byte to the token itself
+        self.at_left, self.at_right = ({t: self._spine(t, part) for t in self.rank} for part in (left, right))
+        self.arcs: dict[int, bool] = {}
+        self.width = {t: len(vocabulary.label[t]) for t in self.rank}
         self.table: dict[int, int] = {}  # state * 256 + byte -> state
-        self.source = [0]  # of each state's incoming arc, after the gadgets
-        self.token = [-1]  # its label
-        self.known: dict[str, bytes] = {}
-
-    def compile(self, words: list[str]) -> None:
-        """Add words, in tries of ``CHUNK`` neighbours each: the gadgets of tries that are there are finished."""
-        for at in range(0, len(words), CHUNK):
-            self._compile([(w, w.encode()) for w in words[at : at + CHUNK]])
-
-    def _compile(self, spelled: list[tuple[str, bytes]]) -> None:
-        byte, merge = self.vocabulary.byte, self.vocabulary.merge
-        table, source, token, depth = {}, [0], [-1], [0]
-        children: list[list[int]] = [[]]
-        deep = max(len(word) for _, word in spelled) + 1
-        wide = sum(len(word) for _, word in spelled) + 1
-        heap = []  # (rank * deep + depth) * wide + state: by rank, then from the start of the words
-        ends = []
-        for _, word in spelled:
-            s = 0
-            for d, b in enumerate(word, 1):
-                k = s * 256 + b
-                t = table.get(k)
-                if t is None:
-                    t = table[k] = len(source)
-                    label = byte[b]
-                    source.append(s)
-                    token.append(label)
-                    depth.append(d)
-                    children.append([])
-                    if s:
-                        children[s].append(t)
-                        m = merge.get(token[s] * PAIR + label)
-                        if m is not None:
-                            heap.append((m // PAIR * deep + d) * wide + t)
-                s = t
-            ends.append(s)
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
-        while heap:
-            at, state = divmod(pop(heap), wide)
-            middle = source[state]
-            if not middle:
-                continue
-            m = merge.get(token[middle] * PAIR + token[state])
-            if m is None or m // PAIR != at // deep:
-                continue
-            merged = m % PAIR
-            start = source[middle]
-            children[middle].remove(state)
-            source[state], token[state] = start, merged
-            if start:
-                children[start].append(state)
-                m = merge.get(token[start] * PAIR + merged)
-                if m is not None:
-                    push(heap, (m // PAIR * deep + depth[state]) * wide + state)
-            for t in children[state]:
-                m = merge.get(merged * PAIR + token[t])
-                if m is not None:
-                    push(heap, (m // PAIR * deep + depth[t]) * wide + t)
-        self.table, self.source, self.token = table, source, token
-        known = self.known
-        for (w, _), s in zip(spelled, ends, strict=True):
-            ids = self._arcs(s)
-            known[w] = pack(f"<{len(ids)}I", *ids)
-
-    def _arcs(self, state: int) -> list[int]:
-        """The tokens on the arcs from the start to a state."""
-        source, token, out = self.source, self.token, []
-        while state:
-            out.append(token[state])
-            state = source[state]
-        out.reverse()
-        return out
-
-    def walk(self, word: bytes) -> list[int]:
-        """Follow the table by the bytes of a word of the newest trie, then read the tokens off the arcs."""
+        self.token = [-1]  # of each state, if one ends there
+        for t in self.rank:
+            if t not in left or self.follows(left[t], right[t], self.rank[t]):
+                self.token[self._state(vocabulary.label[t])] = t
+        self.shorter = {t: self._longest(vocabulary.label[t][:-1], 0) for t in self.token if t >= 0}
+
+    @staticmethod
+    def _spine(token: int, part: dict[int, int]) -> list[int]:
+        out = [token]
+        while out[-1] in part:
+            out.append(part[out[-1]])
+        return out[::-1]
+
+    def follows(self, x: int, y: int, before: float = math.inf) -> bool:
+        """Whether the arc from ``x`` to ``y`` is there once the gadgets of all merges of a rank under ``before`` are applied.
+
+        At either side of the border stands what the gadgets have made so far of ``x`` and ``y``; the next gadget of both is
+        applied, unless one that joins the two comes first. Of equal ranks the one further left in the word comes first.
+        """
+        a, b, i, j = self.at_right[x], self.at_left[y], 0, 0
+        while True:
+            joins = self.merge.get(a[i] * PAIR + b[j], math.inf)
+            at_a = self.rank[a[i + 1]] if i + 1 < len(a) else math.inf
+            at_b = self.rank[b[j + 1]] if j + 1 < len(b) else math.inf
+            if joins < at_a and joins <= at_b and joins < before:
+                return False
+            if at_a == at_b == math.inf:
+                return True
+            if at_a <= at_b:
+                i += 1
+            else:
+                j += 1
+
+    def _state(self, word: bytes) -> int:
+        """The trie's state of a word, with the states on the way to it."""
         s = 0
         for b in word:
-            s = self.table[s * 256 + b]
-        return self._arcs(s)
+            t = self.table.get(s * 256 + b)
+            if t is None:
+                t = self.table[s * 256 + b] = len(self.token)
+                self.token.append(-1)
+            s = t
+        return s
+
+    def _longest(self, word: bytes, at: int) -> int:
+        """The longest token at a place of a word, -1 at its end."""
+        table, token, s, best = self.table, self.token, 0, -1
+        for k in range(at, len(word)):
+            s = table.get(s * 256 + word[k])
+            if s is None:
+                break
+            if token[s] >= 0:
+                best = token[s]
+        return best
+
+    def encode(self, word: bytes) -> list[int]:
+        """The tokens of a pre-split word."""
+        arcs, width, shorter, longest = self.arcs, self.width, self.shorter, self._longest
+        if len(arcs) > MAX_ARCS:
+            arcs.clear()
+        out: list[int] = []
+        given_up: set[int] = set()
+        at, t = 0, longest(word, 0)
+        while t >= 0:
+            end = at + width[t]
+            ok = end not in given_up
+            if ok and out:
+                key = out[-1] * PAIR + t
+                ok = arcs.get(key)
+                if ok is None:
+                    ok = arcs[key] = self.follows(out[-1], t)
+            if ok:
+                out.append(t)
+                at = end
+                t = longest(word, at)
+            elif shorter[t] >= 0:
+                t = shorter[t]
+            else:
+                given_up.add(at)
+                t = out.pop()
+                at -= width[t]
+        return out
 
 
 class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.automaton = Automaton(self.vocabulary)
+        self.known: dict[str, bytes] = {}  # tokens of words that the automaton has read
+        self.held = 0
         self.pieces = regex.compile(PATTERN).findall
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -170,15 +188,19 @@ class Encoder:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text, as little-endian unsigned 32-bit integers."""
         split = [self.split(t or "") for t in texts]
-        known = self.automaton.known
+        known, encode = self.known, self.automaton.encode
         words = set(chain.from_iterable(p for parts in split for p in parts if isinstance(p, list)))
-        new = words.difference(known)
-        if len(known) + len(new) > MAX_WORDS:
+        if self.held > MAX_KNOWN:
             known.clear()
-            new = words
-        if new:
-            self.automaton.compile(sorted(new))
-        return [b"".join(self.special_ids[p] if isinstance(p, str) else b"".join(map(known.__getitem__, p)) for p in parts) for parts in split]
+            self.held = 0
+        rare = {}
+        for word in words.difference(known):
+            data = word.encode("utf-8", "replace")
+            ids = encode(data)
+            (known if len(data) <= LONG_WORD else rare)[word] = pack(f"<{len(ids)}I", *ids)
+            self.held += 200 + len(data) + 4 * len(ids)
+        found = ChainMap(known, rare).__getitem__ if rare else known.__getitem__
+        return [b"".join(self.special_ids[p] if isinstance(p, str) else b"".join(map(found, p)) for p in parts) for parts in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of token ids: arc labels in order; bytes that aren't UTF-8 become replacement characters."""

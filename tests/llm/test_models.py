@@ -39,14 +39,53 @@ def test_encoding_equals_the_library(spark):
     assert bpe.encode_documents(df.where("false"), PATH).count() == 0
 
 
-def test_words_beyond_the_table(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_WORDS", 5)
+def test_words_beyond_the_tables(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_KNOWN", 500)
+    monkeypatch.setattr(bpe, "MAX_ARCS", 10)
+    monkeypatch.setattr(bpe, "LONG_WORD", 4)
     e = bpe.Encoder(PATH)
-    texts = ["one two three four", "five six seven", "one two eight nine ten eleven"]
+    texts = ["one two three four", "five six seven", "one two eight nine ten eleven", "x" * 3000 + " " + "ab" * 3000]
     got = [np.frombuffer(e.encode_batch([t])[0], "<u4").tolist() for t in texts]
     assert got == library(texts)[0]
 
 
+def merged(word, vocabulary):
+    """BPE as it reads: again and again the leftmost pair of the lowest rank."""
+    ids = [vocabulary.byte[b] for b in word]
+    while True:
+        found = [(vocabulary.merge[p], k) for k, p in enumerate(a * bpe.PAIR + b for a, b in zip(ids, ids[1:])) if p in vocabulary.merge]
+        if not found:
+            return ids
+        m, k = min(found)
+        ids[k : k + 2] = [m % bpe.PAIR]
+
+
+def test_automaton_equals_merging():
+    e = bpe.Encoder(PATH)
+    a, v = e.automaton, e.vocabulary
+    rng = random.Random(8)
+    tokens = [t for t in v.label if t in a.rank]
+    words = [v.label[t] for t in rng.sample(tokens, 3000)] + [b"".join(v.label[t] for t in rng.sample(tokens, 3)) for _ in range(2000)]
+    words += [bytes(rng.choices(b"aeinrst \xc3\xa9", k=rng.randint(1, 40))) for _ in range(2000)] + [b"a" * n for n in range(1, 60)] + [b"", b"\xff\x00"]
+    for w in words:
+        assert a.encode(w) == merged(w, v)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(3000)]
+    assert all(a.follows(x, y) == (merged(v.label[x] + v.label[y], v) == [x, y]) for x, y in pairs)
+
+
+def test_encoding_reads_the_tables():
+    e = bpe.Encoder(PATH)
+    before = e.encode_batch(["thwhedble eatiwh ontiea automaton"])
+    used = dict(e.automaton.arcs)
+    assert used and any(not ok for ok in used.values())
+    e.known.clear()
+    e.automaton.arcs = {k: False for k in used} | {k: True for k, ok in used.items() if not ok}
+    assert e.encode_batch(["thwhedble eatiwh ontiea automaton"]) != before
+    e.automaton.table.clear()
+    e.known.clear()
+    assert e.encode_batch(["thwhedble eatiwh ontiea automaton"]) != before
+
+
 def test_decode_replaces_broken_bytes():
     e = bpe.Encoder(PATH)
     ids = np.array([e.vocabulary.byte[0xE3], e.vocabulary.byte[0x41]], "<u4").tobytes()
