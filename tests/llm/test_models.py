@@ -79,11 +79,11 @@ def test_encoding_reads_the_tables():
     used = dict(e.automaton.arcs)
     assert used and any(not ok for ok in used.values())
     e.known.clear()
-    e.automaton.arcs = {k: False for k in used} | {k: True for k, ok in used.items() if not ok}
+    e.automaton.arcs = dict.fromkeys(used, True)
     assert e.encode_batch(["thwhedble eatiwh ontiea automaton"]) != before
-    e.automaton.table.clear()
     e.known.clear()
-    assert e.encode_batch(["thwhedble eatiwh ontiea automaton"]) != before
+    e.automaton.table.clear()
+    assert e.encode_batch(["thwhedble eatiwh ontiea automaton"]) == [b""]
 
 
 def test_decode_replaces_broken_bytes():

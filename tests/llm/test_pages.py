@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import html_extract as H
 from gleaner.llm import warc as W
@@ -116,7 +118,7 @@ def test_equal_pages_keep_their_text(spark):
     ],
 )
 def test_blocks(html, text):
-    assert H.extract(html, None, frozenset()) == text
+    assert H.extract(html) == text
 
 
 @pytest.mark.parametrize(
@@ -134,7 +136,7 @@ def test_blocks(html, text):
     ],
 )
 def test_wrappers_are_not_beside(html, text):
-    assert H.extract(html, None, frozenset()) == text
+    assert H.extract(html) == text
 
 
 def test_wrappers_of_a_host(spark):
@@ -162,4 +164,62 @@ def test_text_that_varies_around_the_deepest_slot(spark, kind):
 
 def test_articles_without_a_template():
     html = "<article class=a><p>one</p></article><article class=b><p>two</p></article><p>three</p>"
-    assert H.extract(html, None, frozenset()) == "one\ntwo"
+    assert H.extract(html) == "one\ntwo"
+
+
+def untold(i, n_ads=3):
+    """A page whose classes say nothing: a rotating menu, notice and teaser around and inside a varying article."""
+    rng = random.Random(i)
+    words = lambda k: " ".join(rng.choices(["amber", "birch", "cedar", "dune", "elm"], k=k)) + f" {i}"
+    menu = "".join(f"<li>go {k} {i % 4}</li>" for k in range(5))
+    body = [words(30) for _ in range(rng.randint(2, 5))]
+    page = f"""<html><head><title>{i}</title></head><body><div class=xa><ul>{menu}</ul></div><div class=xb>Buy {i % n_ads} now</div>
+        <div class=xc><div class=xd>Title {i}</div><div class=xe>Same words on every page</div><div class=xf>{"".join(f"<p>{b}</p>" for b in body)}</div>
+        <div class=xg>See also {i % 2}</div></div><div class=xh>Some site {i % n_ads}</div></body></html>"""
+    return page, "\n".join([f"Title {i}", *body])
+
+
+def test_classes_decide_without_telling_names(spark):
+    made = [untold(i) for i in range(80)]
+    rows = [(i, "http://plain.example/", h) for i, (h, _) in enumerate(made)]
+    # a host of which most pages are copies of one, and one whose class names mislead
+    rows += [(1000 + i, "http://copies.example/", untold(7 if i % 3 else i)[0]) for i in range(120)]
+    rows += [(2000 + i, "http://odd.example/", h.replace("xc", "sidebar").replace("xf", "ad-banner")) for i, (h, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(frame(spark, rows)).collect()}
+    assert {i: got[i] for i in range(80)} == {i: t for i, (_, t) in enumerate(made)}
+    assert all(got[1000 + i] == untold(7 if i % 3 else i)[1] for i in range(120))
+    assert all(got[2000 + i] == t for i, (_, t) in enumerate(made))
+
+
+def test_few_pages_leave_it_to_names(spark):
+    page = "<html><body><div class=ad>Buy {0}</div><div class=text><p>One two three {0}</p><div class=newsletter>Join {0}</div></div></body></html>"
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(frame(spark, [(i, "http://a.example/", page.format(i)) for i in range(3)])).collect()}
+    assert got == {i: f"One two three {i}" for i in range(3)}
+
+
+def test_classes_equal_brute_force(spark):
+    """Occurrence vectors as lists of counts, and classes by equality of vectors, against the digests of the plan."""
+    rows = [(i, "http://a.example/", untold(i)[0]) for i in range(30)] + [(50, "http://a.example/", "<p>other</p>"), (51, "http://a.example/", None)]
+    vectors = {}
+    for k, (_, _, h) in enumerate(rows):
+        for path, (_, name, n, _, _) in H.parse(h or "").elements.items():
+            vectors.setdefault((path, name), [0] * len(rows))[k] = n
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(token)
+    want = {frozenset(c) for v, c in classes.items() if len(c) >= H.MIN_CLASS and sum(n > 0 for n in v) >= H.MIN_SUPPORT * len(rows)}
+    tokens = H.page_tokens(frame(spark, rows).selectExpr("'a' as host", "page_id as page", "html")).where("name is not null")
+    grouped = tokens.groupBy("token", "name").agg(F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.count(F.lit(1)).alias("s"))
+    found = grouped.groupBy("v", "s").agg(F.collect_set(F.struct("token", "name")).alias("c")).where(f"size(c) >= {H.MIN_CLASS} and s >= {H.MIN_SUPPORT * len(rows)}")
+    assert {frozenset((t["token"], t["name"]) for t in r["c"]) for r in found.collect()} == want and len(want) == 1
+
+
+@pytest.mark.parametrize(
+    "html",
+    ['<a "' * 250_000, "<div>" * 20_000 + "x", "<div class=ad>" * 20_000 + "x", "<b>" * 20_000 + "<p>x" * 20_000, "<!" * 500_000, "<script" * 150_000, "<div>x" * 20_000 + "</div></p>" * 20_000, "<a b='" * 100_000, "<li>x<b>" * 30_000],
+    ids=range(9),
+)
+def test_parsing_is_linear(html):
+    began = time.thread_time()
+    H.parse(html)
+    assert time.thread_time() - began < 6  # on a slow machine; a quadratic scan takes minutes
