@@ -32,8 +32,8 @@ from .common import Scratch
 #: A valid class has so many tokens at least, and stands in so large a share of the host's pages.
 MIN_CLASS, MIN_SUPPORT = 3, 0.5
 #: A slot's contents recur if there are so many times fewer of them than of the article's.
-RECURS = 4
-#: A slot is known not to recur, or a text to be the template's, once so many different contents were to be expected.
+RECURS = 2
+#: Slots are judged, and text is taken for the template's, once so many different contents were to be expected.
 EVIDENCE = 8
 #: Share of the text that the article's slot holds at least; slots with more than half of all text are never dropped.
 MAIN_SHARE, MOST = 0.6, 0.5
@@ -411,7 +411,8 @@ def nest(rows: pd.DataFrame) -> tuple[int, list[int], list[int]] | None:
     total, main = known[ROOT].chars, ROOT
     for _ in range(2):  # the article's variety is first taken from whole pages, then from its slot
         level = varied(main)
-        recurs = {t for t in slots if t not in around[main] and RECURS * varied(t) <= level and known[t].chars <= MOST * total}
+        judged = {t for t in slots if level * known[t].support >= EVIDENCE}
+        recurs = {t for t in judged.difference(around[main]) if RECURS * varied(t) <= level and known[t].chars <= MOST * total}
         dropped = [t for t in recurs if recurs.isdisjoint(around[t][1:])]
         left = {t: known[t].chars for t in slots}
         for t in dropped:
@@ -428,7 +429,7 @@ def nest(rows: pd.DataFrame) -> tuple[int, list[int], list[int]] | None:
     edge = max((k for k, t in enumerate(around[main]) if tag(t) in ("article", "main")), default=len(around[main]))
     wider = [t for t in around[main][: edge + 1] if t in left and tag(t) in CONTAINERS]
     main = max(wider, key=lambda t: (left[t], len(around[t])))
-    sure = [t for t in slots if level * known[t].support >= EVIDENCE and recurs.isdisjoint(around[t])]
+    sure = [t for t in judged if recurs.isdisjoint(around[t])]
     return main, dropped, sure
 
 
