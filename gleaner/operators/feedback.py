@@ -58,13 +58,10 @@ def signals(votes: DataFrame, key: str = "search_id") -> DataFrame:
 
 
 def summary(votes: DataFrame, key: str = "search_id") -> DataFrame:
-    """AGG-06: counts and the votes, newest first."""
-    newest = F.array_sort(F.collect_list(F.struct((-F.col("feedback_at")).alias("o"), "title", "feedback", "feedback_reason")))
-    return votes.where("feedback is not null").groupBy(key).agg(
-        F.count_if(F.col("feedback") == "up").alias("up"),
-        F.count_if(F.col("feedback") == "down").alias("down"),
-        F.transform(newest, lambda s: F.struct(s["title"], s["feedback"], s["feedback_reason"])).alias("votes"),
-    )
+    """AGG-06: the votes as rows, each with its person's counts; sorting by ``feedback_at`` is left to who shows one person's."""
+    given = votes.where("feedback is not null")
+    counts = given.groupBy(key).agg(*[F.count_if(F.col("feedback") == v).alias(v) for v in ("up", "down")])
+    return given.join(counts, key)
 
 
 def recent(votes: DataFrame, key: str, at: str, tie: str, n: int = 30) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
+from ..tables import Scratch
 
 
 def top_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int | Column, rank: str | None = None) -> DataFrame:
@@ -71,6 +72,15 @@ def notable_rejects(judged: DataFrame, possible_min: int, n: int = 5, keys: Sequ
 
 
 def batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
-    """RK-12: numbers of batches of bounded size within a group."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("batch", F.floor((at - 1) / size).cast("int"))
+    """RK-12: numbers of batches of bounded size within a group, in order.
+
+    Rows are sorted by range over all groups, numbered within each range, and moved by how many rows of their group earlier
+    ranges hold; so a group that holds much of the table is shared by many tasks.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "batches").table(ranged, "ranged")  # one partitioning for both uses
+    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return ranged.join(offsets, [*keys, "__part"]).withColumn("batch", F.floor((at - 1) / size).cast("int")).drop("__part", "__before")

@@ -239,50 +239,76 @@ def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYED_SQL = f"""{_CANON_SQL},
-    kw AS (SELECT p.seq, p.source, title, {_COMPANY} AS cw, canon, regexp_extract_all(lower(text), '[a-z0-9à-ÿß+#]+')[1:800] AS w FROM p JOIN canon USING (seq)),
-    ks AS (SELECT seq, source, title, cw, array_to_string(cw, '') AS co, canon, {_SIGNATURE_SQL} AS s FROM kw)"""
+    kw AS (SELECT p.seq, p.source, title, length(text) AS chars, {_COMPANY} AS cw, canon, regexp_extract_all(lower(text), '[a-z0-9à-ÿß+#]+')[1:800] AS w FROM p JOIN canon USING (seq)),
+    ks AS (SELECT seq, source, title, chars, cw, array_to_string(cw, '') AS co, canon, {_SIGNATURE_SQL} AS s FROM kw)"""
 _SIM = """CASE WHEN len(a.s) > 0 AND len(b.s) > 0 THEN len(list_intersect(list_intersect(list_sort(list_distinct(list_concat(a.s, b.s)))[1:64], a.s), b.s))
     / least(64, len(list_distinct(list_concat(a.s, b.s)))) END"""
+_LONG = " responsible for the growth of all plants in the northern region and their partners"
+
+
+def with_reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings and what other sources make of some: a longer title, a title cut at 75 characters, a longer company name."""
+    p = P(spark, sf_dir)
+
+    def repost(k: int, source: str, every: int, **changed) -> DataFrame:
+        return p.where(c("seq") % every == 0).withColumns({"seq": c("seq") + k * 10_000_000_000, "source": F.lit(source), **changed})
+
+    long = F.concat("title", F.lit(_LONG))
+    return (
+        p.unionByName(repost(1, "mirror-a", 5, title=F.concat("title", F.lit(" Team"))))
+        .unionByName(repost(2, "long-a", 7, title=long))
+        .unionByName(repost(3, "long-b", 7, title=F.left(long, F.lit(75))))
+        .unionByName(repost(4, "mirror-c", 9, company=F.concat("company", F.lit(" Marine"))))
+    )
+
+
+_REPOSTS_SQL = STAR_SQL.replace("p AS (", "p0 AS (", 1) + f""", p AS (SELECT * FROM p0
+    UNION ALL SELECT * REPLACE (seq + 10000000000 AS seq, 'mirror-a' AS source, title || ' Team' AS title) FROM p0 WHERE seq % 5 = 0
+    UNION ALL SELECT * REPLACE (seq + 20000000000 AS seq, 'long-a' AS source, title || '{_LONG}' AS title) FROM p0 WHERE seq % 7 = 0
+    UNION ALL SELECT * REPLACE (seq + 30000000000 AS seq, 'long-b' AS source, (title || '{_LONG}')[1:75] AS title) FROM p0 WHERE seq % 7 = 0
+    UNION ALL SELECT * REPLACE (seq + 40000000000 AS seq, 'mirror-c' AS source, company || ' Marine' AS company) FROM p0 WHERE seq % 9 = 0)"""
+_HEADS_SQL = "heads AS (SELECT DISTINCT ON (co, canon, source) * FROM ks ORDER BY co, canon, source, chars DESC, seq)"
 _COMPANY_PAIRS_SQL = f"""
     cp AS (SELECT a.seq AS a, b.seq AS b, {_SIM} AS sim, a.canon AS ta, b.canon AS tb, length(trim(a.title)) AS na, length(trim(b.title)) AS nb
-           FROM ks a JOIN ks b ON a.co = b.co AND a.seq < b.seq AND a.source <> b.source AND a.canon <> b.canon
-           WHERE len(list_intersect(string_split(a.canon, ' '), string_split(b.canon, ' '))) > 0),
+           FROM heads a JOIN heads b ON a.co = b.co AND a.seq < b.seq AND a.source <> b.source AND a.canon <> b.canon),
     cq AS (SELECT *, CASE WHEN length(ta) <= length(tb) THEN na ELSE nb END >= 70 AND (CASE WHEN length(ta) <= length(tb) THEN starts_with(tb, ta) ELSE starts_with(ta, tb) END) AS cut,
            len(list_intersect(string_split(ta, ' '), string_split(tb, ' '))) / len(list_distinct(list_concat(string_split(ta, ' '), string_split(tb, ' ')))) AS jac FROM cp),
     cpairs AS (SELECT a, b, CASE WHEN cut THEN 'cut' ELSE 'alike' END AS kind FROM cq WHERE CASE WHEN cut THEN sim IS NULL OR sim >= 0.6 ELSE jac >= 0.6 AND sim >= 0.9 END)"""
 
 
-@query(with_p(f", {_KEYED_SQL}, {_COMPANY_PAIRS_SQL} SELECT * FROM cpairs"))
+@query(f"WITH {_REPOSTS_SQL}, {_KEYED_SQL}, {_HEADS_SQL}, {_COMPANY_PAIRS_SQL} SELECT * FROM cpairs")
 def company_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.company_pairs(resolve.with_keys(P(spark, sf_dir), F.md5))
+    return resolve.company_pairs(resolve.with_keys(with_reposts(spark, sf_dir), F.md5))
 
 
-# the adapter's company names differ by supplier and the ending 'labs' alone, which is a strong match
-_TITLE_PAIRS_SQL = """
+# company names differ by supplier, by 'labs' (a strong match) and by 'marine' (a weak one)
+_TITLE_PAIRS_SQL = f"""
     th AS (SELECT canon, co, min(seq) AS seq, any_value(cw) AS cw FROM ks GROUP BY canon, co),
     tpairs AS (SELECT least(a.seq, b.seq) AS a, greatest(a.seq, b.seq) AS b, 'strong' AS kind FROM th a JOIN th b ON a.canon = b.canon AND a.co < b.co
-               WHERE a.cw[1] = b.cw[1] AND len(a.cw) <= 2 AND len(b.cw) <= 2)"""
+               WHERE a.cw[1] = b.cw[1] AND NOT list_contains(a.cw, 'marine') AND NOT list_contains(b.cw, 'marine')
+               UNION ALL SELECT a.seq, b.seq, 'weak' FROM heads a JOIN heads b ON a.canon = b.canon AND a.co <> b.co AND a.seq < b.seq AND a.source <> b.source AND a.cw[1] = b.cw[1]
+               WHERE (list_contains(a.cw, 'marine') OR list_contains(b.cw, 'marine')) AND len(list_intersect(a.cw, b.cw)) = least(len(a.cw), len(b.cw)) AND {_SIM} >= 0.6)"""
 
 
-@query(with_p(f", {_KEYED_SQL}, {_TITLE_PAIRS_SQL} SELECT * FROM tpairs"))
+@query(f"WITH {_REPOSTS_SQL}, {_KEYED_SQL}, {_HEADS_SQL}, {_TITLE_PAIRS_SQL} SELECT * FROM tpairs")
 def title_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.title_pairs(resolve.with_keys(P(spark, sf_dir), F.md5))
+    return resolve.title_pairs(resolve.with_keys(with_reposts(spark, sf_dir), F.md5))
 
 
 @query(
-    f"WITH RECURSIVE {STAR_SQL}, {_KEYED_SQL}, {_COMPANY_PAIRS_SQL}, {_TITLE_PAIRS_SQL}"
+    f"WITH RECURSIVE {_REPOSTS_SQL}, {_KEYED_SQL}, {_HEADS_SQL}, {_COMPANY_PAIRS_SQL}, {_TITLE_PAIRS_SQL}"
     """, exact AS (SELECT seq AS a, min(seq) OVER (PARTITION BY co, canon) AS b, 'exact' AS kind FROM ks),
     e AS (SELECT a, b FROM cpairs UNION SELECT b, a FROM cpairs UNION SELECT a, b FROM tpairs UNION SELECT b, a FROM tpairs UNION SELECT a, b FROM exact UNION SELECT b, a FROM exact),
     r AS (SELECT seq AS x, seq AS y FROM ks UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
     SELECT x AS seq, min(y) AS cluster_id FROM r GROUP BY x"""
 )
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.clusters_by_closure(P(spark, sf_dir), F.md5).select("seq", "cluster_id")
+    return resolve.clusters_by_closure(with_reposts(spark, sf_dir), F.md5).select("seq", "cluster_id")
 
 
 @query()
 def replay_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.clusters_by_replay(P(spark, sf_dir))
+    return resolve.clusters_by_replay(with_reposts(spark, sf_dir))
 
 
 @query()
@@ -321,8 +347,11 @@ _ROLE_SQL = """
 
 @query(with_p(f", {_ROLE_SQL} SELECT search_id::BIGINT AS search_id, seq, role, round(share::DOUBLE, 6) AS share FROM rm"))
 def role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best role of every posting for every search; two searches are broadcast."""
-    pairs = P(spark, sf_dir).select("seq", "title").join(F.broadcast(searches(spark)).select("search_id", "target_roles"))
+    """The best role of every posting for every search that shares a role's word with it."""
+    p = P(spark, sf_dir).select("seq", "title").withColumn("word", F.explode(F.array_distinct(T.words(c("title")))))
+    s = searches(spark).select("search_id", "target_roles")
+    asked = s.withColumn("word", F.explode(F.array_distinct(F.flatten(F.transform("target_roles", T.role_words)))))
+    pairs = p.join(asked, "word").dropDuplicates(["search_id", "seq"])
     rated = pairs.select("search_id", "seq", matching.role_match(c("title"), c("target_roles")).alias("r")).where("r is not null")
     return rated.select("search_id", "seq", c("r.role").alias("role"), F.round("r.share", 6).alias("share"))
 
@@ -464,15 +493,13 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT lower(trim(q)) AS query, lower(n_name) AS country FROM nation, (SELECT unnest([' Data  Engineer', 'data engineer', 'Analyst']) AS q0), LATERAL (SELECT regexp_replace(q0, '\\s+', ' ', 'g') AS q)
-    WHERE n_nationkey < 2"""
+    """WITH n AS (SELECT lower(n_name) AS country, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation)
+    SELECT DISTINCT q AS query, country FROM n, (SELECT unnest(['data engineer', 'analyst']) AS q) WHERE k <= 2"""
 )
 def distinct_partner_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-22: the first queries of a search for its first countries, squeezed, each request once."""
-    profile = _read(spark, sf_dir, "nation").where("n_nationkey < 2").agg(F.array_sort(F.collect_list(F.lower("n_name"))).alias("countries"))
-    wanted = T.lit_array([" Data  Engineer", "data engineer", "Analyst", "fourth is not asked"])
-    rows = profile.select(F.explode(F.slice(wanted, 1, 3)).alias("q"), F.slice("countries", 1, 2).alias("cs")).select("q", F.explode("cs").alias("country"))
-    return rows.select(F.lower(F.trim(F.regexp_replace("q", r"\s+", " "))).alias("query"), "country").distinct()
+    """SRC-22: a search for each region, its nations as countries."""
+    s = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("countries"))
+    return catalog.partner_requests(s.withColumn("search_queries", T.lit_array([" Data  Engineer", "data engineer", "Analyst", "fourth is not asked"])))
 
 
 CATALOG = [
@@ -491,7 +518,7 @@ CATALOG = [
 )
 def external_search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = c("n_name")
-    spoken = F.when(c("n_nationkey") % 2 == 0, catalog.languages(F.array(F.lit("Englisch")))).otherwise(catalog.languages(F.array(F.lit("de"))))
+    spoken = F.when(c("n_nationkey") % 2 == 0, catalog.languages(T.lit_array(["Englisch (fluent)", "Klingon"]))).otherwise(catalog.languages(T.lit_array([]).cast("array<string>"), F.lit("de")))
     s = _read(spark, sf_dir, "nation").select(
         c("n_nationkey").cast("long").alias("search_id"), F.lit("Small Ring").alias("query"), name.alias("place"), catalog.countries(F.array(name)).alias("countries"),
         spoken.alias("languages"), F.array().cast("array<string>").alias("types"), F.lit("small ring").alias("blob"),
@@ -539,39 +566,65 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").groupBy(_day("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.read_events(spark, f"{sf_dir}/events.parquet*", jobs.EVENTS.replace("ts timestamp", "ts timestamp_ntz"), 8)
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def daily_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = jobs.read_events(spark, f"{sf_dir}/events.parquet*", jobs.EVENTS.replace("ts timestamp", "ts timestamp_ntz"))
     scratch = Scratch(spark, "stream")
-    counts = jobs.daily_counts(stream.withColumn("ts", c("ts").cast("timestamp")), "event_type")
-    table = jobs.run_to_table(counts, f"daily_{scratch.path[-12:]}", "complete", scratch.folder("checkpoint"))
+    counts = jobs.daily_counts(_stream(spark, sf_dir).withColumn("ts", c("ts").cast("timestamp")), "event_type")
+    table = jobs.run_to_files(counts, scratch.folder("counts"), scratch.folder("checkpoint"), complete=True)
     return table.select(_day("day").alias("day"), "event_type", "n")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 4 AS user_id, ts, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT event_id, user_id, ts, k, true AS allowed, [ts] AS recent FROM e WHERE k = 1
+          UNION ALL
+          SELECT e.event_id, e.user_id, e.ts, e.k, len(list_filter(r.recent, lambda x: x > e.ts - INTERVAL 1 HOUR)) < 5,
+                 CASE WHEN len(list_filter(r.recent, lambda x: x > e.ts - INTERVAL 1 HOUR)) < 5 THEN list_append(list_filter(r.recent, lambda x: x > e.ts - INTERVAL 1 HOUR), e.ts)
+                      ELSE list_filter(r.recent, lambda x: x > e.ts - INTERVAL 1 HOUR) END
+          FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+    SELECT event_id, user_id, epoch_us(ts) AS hit_at, allowed FROM r"""
+)
 def rate_limit_5_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-02 for four callers, each busy enough to meet the limit."""
     scratch = Scratch(spark, "stream")
-    stream = jobs.read_events(spark, f"{sf_dir}/events.parquet*", jobs.EVENTS.replace("ts timestamp", "ts timestamp_ntz"))
-    return jobs.run_to_table(jobs.rate_limit(stream, 1), f"limit_{scratch.path[-12:]}", "append", scratch.folder("checkpoint"))
+    stream = _stream(spark, sf_dir).withColumn("user_id", c("user_id") % 4)
+    table = jobs.run_to_files(jobs.rate_limit(stream, 5, 3600), scratch.folder("hits"), scratch.folder("checkpoint"))
+    return table.select("event_id", "user_id", F.unix_micros(c("ts").cast("timestamp")).alias("hit_at"), "allowed")
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT event_id, user_id, event_type, epoch_us(TIMESTAMP '2024-01-01') + 12 * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) AS t FROM events),
+    e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS k FROM s),
+    r AS (SELECT event_id, user_id, event_type, t, k, true AS shown, t AS latest FROM e WHERE k = 1
+          UNION ALL
+          SELECT e.event_id, e.user_id, e.event_type, e.t, e.k, r.latest <= e.t - 2592000000000, CASE WHEN r.latest <= e.t - 2592000000000 THEN e.t ELSE r.latest END
+          FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.k = r.k + 1)
+    SELECT event_id, user_id, event_type, t AS shown_at FROM r WHERE shown"""
+)
 def repeat_after_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-03 over a year: time runs twelve times as fast as in the table, so that items come back."""
     scratch = Scratch(spark, "stream")
-    stream = jobs.read_events(spark, f"{sf_dir}/events.parquet*", jobs.EVENTS.replace("ts timestamp", "ts timestamp_ntz"))
-    return jobs.run_to_table(jobs.repeat_after(stream, 7), f"repeat_{scratch.path[-12:]}", "append", scratch.folder("checkpoint"))
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    micros = F.unix_micros(c("ts").cast("timestamp"))
+    stream = _stream(spark, sf_dir).withColumn("ts", F.timestamp_micros(start + 12 * (micros - start)))
+    table = jobs.run_to_files(jobs.repeat_after(stream, 30), scratch.folder("shown"), scratch.folder("checkpoint"))
+    return table.select("event_id", "user_id", "event_type", F.unix_micros(c("ts").cast("timestamp")).alias("shown_at"))
 
 
 _VOTES_SQL = """v AS (SELECT user_id % 20 AS search_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'up' WHEN event_id % 3 = 1 THEN 'down' END AS feedback,
     CASE event_id % 7 WHEN 1 THEN 'not this company' WHEN 2 THEN 'not my field; too junior' WHEN 3 THEN 'wrong location' WHEN 4 THEN 'salary too low' WHEN 5 THEN 'too senior' END AS feedback_reason,
     p.company, p.title, p.location, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'role ' || (event_id % 3) END AS matched_role, epoch_us(ts) AS feedback_at
-    FROM events JOIN p ON p.seq = event_id % 200)"""
+    FROM events JOIN p ON p.seq = event_id % (SELECT count(*) FROM documents))"""
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = _read(spark, sf_dir, "events"), c("event_id")
     reason = F.coalesce(*[F.when(i % 7 == k, r) for k, r in ((1, "not this company"), (2, "not my field; too junior"), (3, "wrong location"), (4, "salary too low"), (5, "too senior"))])
-    v = e.join(P(spark, sf_dir).select("seq", "company", "title", "location"), c("seq") == i % 200)
+    v = e.join(P(spark, sf_dir).select("seq", "company", "title", "location"), c("seq") == i % _read(spark, sf_dir, "documents").count())
     return v.select(
         (c("user_id") % 20).alias("search_id"), "event_id", F.when(i % 3 == 0, "up").when(i % 3 == 1, "down").alias("feedback"), reason.alias("feedback_reason"), "company", "title", "location",
         F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("role "), (i % 3).cast("string"))).alias("matched_role"), F.unix_micros(c("ts").cast("timestamp")).alias("feedback_at"),
@@ -596,11 +649,11 @@ def feedback_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_p(f", {_VOTES_SQL} SELECT search_id, count(*) FILTER (feedback = 'up') AS up, count(*) FILTER (feedback = 'down') AS down, array_to_string(list(title ORDER BY feedback_at DESC, title), ',') AS votes FROM v WHERE feedback IS NOT NULL GROUP BY search_id")
+    with_p(f""", {_VOTES_SQL} SELECT search_id, count(*) FILTER (feedback = 'up') OVER w AS up, count(*) FILTER (feedback = 'down') OVER w AS down, event_id, title, feedback
+    FROM v WHERE feedback IS NOT NULL WINDOW w AS (PARTITION BY search_id)""")
 )
 def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = feedback.summary(_votes(spark, sf_dir))
-    return s.select("search_id", "up", "down", F.array_join(F.transform("votes", lambda v: v["title"]), ",").alias("votes"))
+    return feedback.summary(_votes(spark, sf_dir)).select("search_id", "up", "down", "event_id", "title", "feedback")
 
 
 @query(with_p(f", {_VOTES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY feedback_at DESC, event_id DESC) AS rank FROM v) SELECT search_id, event_id, rank::INT AS rank FROM r WHERE rank <= 30"))

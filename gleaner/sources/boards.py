@@ -7,6 +7,7 @@ Payloads land as files (one JSON document or XML feed each) and are read with a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ def remotive(payloads: DataFrame) -> DataFrame:
 def remoteok(payloads: DataFrame) -> DataFrame:
     """The first element of the root array is a notice."""
     root = payloads.select(F.from_json("payload", "array<struct<company:string,position:string,url:string,location:string,description:string,epoch:string,salary_min:double,salary_max:double>>").alias("r"))
-    j = root.select(F.explode(F.slice("r", 2, 1_000_000)).alias("j")).where("coalesce(j.position, '') <> ''")
+    j = root.select(F.explode(F.slice("r", F.lit(2), F.greatest(F.lit(0), F.size("r") - 1))).alias("j")).where("coalesce(j.position, '') <> ''")
     zero = lambda n: F.nullif(c(n), F.lit(0.0))
     return j.select(
         F.lit("remoteok").alias("source"), c("j.company"), c("j.position").alias("title"), c("j.url"), c("j.location"), F.lit(True).alias("remote"), strip_html(c("j.description")).alias("text"),
@@ -274,17 +275,31 @@ XML = {"personio": (personio, "position", PERSONIO_SCHEMA), "successfactors": (s
 
 
 def _owner(depth: int = 2) -> Column:
-    """The folder of a payload file names its owner; ``,`` stands for ``/``."""
-    return F.replace(F.element_at(F.split(F.input_file_name(), "/"), -depth), F.lit(","), F.lit("/"))
+    """The folder of a payload file names its owner, with or without ``owner=``; ``,`` stands for ``/``."""
+    folder = F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -depth))
+    return F.replace(F.regexp_replace(folder, "^owner=", ""), F.lit(","), F.lit("/"))
 
 
 def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Postings of one source from ``path/owner/*.json`` or ``*.xml``."""
+    """Postings of one source from ``path/owner/file``, a JSON or XML payload each. A JSON payload that can't be parsed has no
+    postings; ``broken_payloads`` counts them."""
     if name in XML:
         connector, tag, schema = XML[name]
-        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(f"{path}/*/*.xml")
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(f"{path}/*/*")
         return connector(rows.withColumn("owner", _owner()))
-    return JSON[name](spark.read.text(f"{path}/*/*.json", wholetext=True).select(_owner().alias("owner"), F.col("value").alias("payload")))
+    return JSON[name](payloads(spark, path))
+
+
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """``owner, payload`` of JSON files; whatever isn't JSON is null."""
+    raw = spark.read.text(f"{path}/*/*", wholetext=True).select(_owner().alias("owner"), F.col("value").alias("payload"))
+    return raw.withColumn("payload", F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")))
+
+
+def broken_payloads(spark: SparkSession, root: str, names) -> DataFrame:
+    """SRC-18: ``source, payloads, broken`` of JSON sources: how many payloads each has, and how many aren't JSON."""
+    frames = [payloads(spark, f"{root}/{n}").agg(F.lit(n).alias("source"), F.count(F.lit(1)).alias("payloads"), F.count_if(c("payload").isNull()).alias("broken")) for n in names]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_all(spark: SparkSession, root: str, names) -> tuple[DataFrame, dict[str, str]]:

@@ -37,13 +37,18 @@ def source_counts(postings: DataFrame) -> DataFrame:
 
 
 def from_star_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One posting for each document: company by supplier, title by part, place by nation and region."""
+    """One posting for each document: company by supplier, title by part, place by nation and region.
+
+    Three documents in a row have one supplier and part, so openings repeat at every scale; all suppliers and parts are used in
+    turn, as far as there are documents.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    opening = F.floor(F.col("doc_id") / 3).cast("long")
     d = read("documents").select("doc_id", F.col("source").alias("src"), "text")
     i = F.col("doc_id")
     rows = (
-        d.join(read("supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == i % 10)
-        .join(read("part").select("p_partkey", "p_name", "p_retailprice"), F.col("p_partkey") == i % 200)
+        d.join(read("supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == opening % read("supplier").count())
+        .join(read("part").select("p_partkey", "p_name", "p_retailprice"), F.col("p_partkey") == opening % read("part").count())
         .join(read("nation"), F.col("n_nationkey") == i % 25)
         .join(read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
     )
@@ -80,5 +85,5 @@ STAR_SQL = """p AS (
            CAST(NULL AS DOUBLE) AS salary_min, CASE WHEN doc_id % 6 <> 0 THEN CAST(p_retailprice AS DOUBLE) * 40 END AS salary_max,
            CASE doc_id % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE 'XXX' END AS currency,
            doc_id % 3 = 0 AS direct, CASE WHEN doc_id % 7 = 0 AND doc_id % 3 <> 0 THEN 'Jooble' ELSE '' END AS partner
-    FROM documents d JOIN supplier ON s_suppkey = doc_id % 10 JOIN part ON p_partkey = doc_id % 200
+    FROM documents d JOIN supplier ON s_suppkey = doc_id // 3 % (SELECT count(*) FROM supplier) JOIN part ON p_partkey = doc_id // 3 % (SELECT count(*) FROM part)
          JOIN nation ON n_nationkey = doc_id % 25 JOIN region ON r_regionkey = n_regionkey)"""

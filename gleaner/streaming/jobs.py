@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +30,33 @@ def daily_counts(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), key, "n")
 
 
+#: Rows of a batch that a stateful function returns at once.
+ROWS = 50_000
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``event_id`` and microseconds of one key's rows in a micro-batch, in order of time, in chunks. Only these two numbers of
+    each row are held, and a micro-batch bounds their count (``files_per_batch``)."""
+    parts = [(b["event_id"].to_numpy(np.int64), b["ts"].to_numpy("datetime64[us]").astype(np.int64)) for b in batches]
+    ids, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, times))
+    for at in range(0, len(order), ROWS):
+        yield ids[order[at : at + ROWS]], times[order[at : at + ROWS]]
+
+
 def _limit(most: int, seconds: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(held.get[0]) if held.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed = []
-        for t in rows["ts"].astype("int64") // 1000:
-            recent = [x for x in recent if x > t - seconds * 1_000_000]
-            allowed.append(len(recent) < most)
-            if allowed[-1]:
-                recent.append(int(t))
-        held.update((recent,))
-        yield rows[["event_id", "user_id", "ts"]].assign(allowed=allowed)
+        recent = deque(held.get[0] if held.exists else [])
+        for ids, times in _in_order(batches):
+            allowed = []
+            for t in times.tolist():
+                while recent and recent[0] <= t - seconds * 1_000_000:
+                    recent.popleft()
+                allowed.append(len(recent) < most)
+                if allowed[-1]:
+                    recent.append(t)
+            yield pd.DataFrame({"event_id": ids, "user_id": key[0], "ts": times.astype("datetime64[us]"), "allowed": allowed})
+        held.update((list(recent),))
 
     return run
 
@@ -56,14 +73,14 @@ def rate_limit(events: DataFrame, most: int = 5, seconds: int = 3600) -> DataFra
 def _repeat(days: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last = held.get[0] if held.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        shown = []
-        for t in rows["ts"].astype("int64") // 1000:
-            shown.append(last is None or last <= t - days * 86_400_000_000)
-            if shown[-1]:
-                last = int(t)
+        for ids, times in _in_order(batches):
+            shown = []
+            for k, t in enumerate(times.tolist()):
+                if last is None or last <= t - days * 86_400_000_000:
+                    shown.append(k)
+                    last = t
+            yield pd.DataFrame({"event_id": ids[shown], "user_id": key[0], "event_type": key[1], "ts": times[shown].astype("datetime64[us]")})
         held.update((last,))
-        yield rows[["event_id", "user_id", "event_type", "ts"]][shown]
 
     return run
 
@@ -90,7 +107,13 @@ def upsert_stream(changes: DataFrame, table: state.VersionedTable, keys: list[st
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now into a table in memory (for tests and small reports)."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, complete: bool = False) -> DataFrame:
+    """Run a stream over what is there now into Parquet files, and read them. With ``complete``, each micro-batch holds the whole
+    result and replaces the one before. The driver sees none of the rows."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if complete:
+        writer = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+        writer.start().awaitTermination()
+    else:
+        writer.format("parquet").option("path", path).outputMode("append").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

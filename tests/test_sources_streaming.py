@@ -91,7 +91,7 @@ def events(spark, tmp_path, n=300):
 
 def test_rate_limit_equals_a_queue(spark, tmp_path):
     rows, stream = events(spark, tmp_path)
-    out = jobs.run_to_table(jobs.rate_limit(stream, 2, 3600), "t_limit", "append", f"{tmp_path}/c1").collect()
+    out = jobs.run_to_files(jobs.rate_limit(stream, 2, 3600), f"{tmp_path}/o1", f"{tmp_path}/c1").collect()
     held, want = {}, {}
     for i, (t, u) in enumerate(rows):
         q = [x for x in held.get(u, []) if x > t - 3600]
@@ -102,16 +102,16 @@ def test_rate_limit_equals_a_queue(spark, tmp_path):
 
 def test_repeats_and_counts(spark, tmp_path):
     rows, stream = events(spark, tmp_path)
-    shown = jobs.run_to_table(jobs.repeat_after(stream, 1), "t_repeat", "append", f"{tmp_path}/c1").collect()
+    shown = jobs.run_to_files(jobs.repeat_after(stream, 1), f"{tmp_path}/o1", f"{tmp_path}/c1").collect()
     last, want = {}, []
     for i, (t, u) in enumerate(rows):
         if u not in last or last[u] <= t - 86_400:
             last[u] = t
             want.append(i)
     assert sorted(r["event_id"] for r in shown) == want
-    daily = jobs.run_to_table(jobs.daily_counts(stream, "user_id"), "t_daily", "complete", f"{tmp_path}/c2")
+    daily = jobs.run_to_files(jobs.daily_counts(stream, "user_id"), f"{tmp_path}/o2", f"{tmp_path}/c2", complete=True)
     assert daily.agg(F.sum("n")).first()[0] == len(rows)
-    once = jobs.run_to_table(jobs.once_ever(stream, ["user_id"]), "t_once", "append", f"{tmp_path}/c3")
+    once = jobs.run_to_files(jobs.once_ever(stream, ["user_id"]), f"{tmp_path}/o3", f"{tmp_path}/c3")
     assert once.count() == 5
 
 
