@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Scratch, held_out
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -27,6 +27,7 @@ MAX_FIT_ROWS = 3_000
 WINDOWS_OF_A_ROW = 4
 EPOCHS = 6
 UNDETERMINED = "und"
+BROADCAST_LANGUAGES = 10_000
 
 _NO_LETTER = re.compile(rb"[^a-z\x80-\xff]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -154,8 +155,10 @@ def fit_network(
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = rows.select(key.alias("k"), F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    quota = max(1, max_rows // max(1, counts.count()))
+    counts = Scratch(docs.sparkSession, "languages").table(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
+    languages = counts.count()
+    quota = max(1, max_rows // max(1, languages))
+    counts = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts  # so that texts don't move
     # of a frequent language only the keys below some bound can be among the first: twice the quota is expected there
     near = rows.join(counts, "lang").where(F.col("k") <= F.lit(2.0**32) * F.least(F.lit(1.0), F.lit(2.0 * quota + 100) / F.col("n")))
 

@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links reach. Equal sets are one class before any table is built, so copies cost one row.
 
     Null, empty and wordless texts have the empty set and link with nothing. Rows with a null id link with nothing, have a
-    null component and are kept. Rows that repeat an id are one row of the link graph each by its own text. An empty table
+    null component and are kept. Rows that repeat an id are one node of the link
+    graph: what any of their texts is linked with is in their component. Each row has the set size of its own text. An empty table
     gives an empty result. Extra columns are ignored. Ids are integers.
     """
     spark = docs.sparkSession

@@ -73,6 +73,12 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert M.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    rows = [(3, "a b c d e f", 0), (7, "a b c d e f", 0), (7, "q r s t u v w", 0), (9, "q r s t u v w", 0)]
+    got = M.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(3, 2, 3, True), (7, 2, 3, False), (7, 3, 3, False), (9, 3, 3, False)]
+
+
 def test_tables_find_pairs_at_the_threshold():
     rng = random.Random(1)
     base = [f"w{rng.randrange(10**9)}" for _ in range(400)]
