@@ -198,7 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "classes",
     )
     scratch.discard(sketches)
-    links = _star_and_rest(source, member, scratch)
+    # an id with several texts is one node: it links the classes of all of them
+    several = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id")
+    same_id = member.join(scratch.table(several, "several"), "doc_id", "left_semi").where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    links = _star_and_rest(source, member, scratch).union(same_id)
     labels = components(links, scratch).withColumnRenamed("node", "class_id")
     return member.join(labels, "class_id", "left").select(
         "doc_id",
