@@ -59,6 +59,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     both = scratch.table(
         edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges"
     )
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = scratch.table(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")),
         "labels",
