@@ -148,7 +148,7 @@ def signups_to_rederive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {TASKS_SQL} SELECT count(*) FILTER (status = 'pending' AND run_after <= TIMESTAMP '2024-01-15') AS due, count(*) FILTER (status IN ('pending', 'running')) AS open FROM tasks")
-def open_task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.open_counts(_tasks(spark, sf_dir)[0], F.lit("2024-01-15").cast("timestamp"))
 
 
