@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .decontaminate import contaminated_documents
 from .exact_dedup import exact_groups
+from .filter_audit import audit_filters
 from .fingerprints import compare_with_next
 from .html_extract import extract_pages
 from .language_id import fit_network, identify_languages
@@ -16,6 +18,7 @@ from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .toxicity import fit_lexicon, score_toxicity
 from .warc import archive_pages
+from .whitening import whitened_components
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +68,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
     return encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path or default_tokenizer(), digests=True)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fingerprints,
         op9_html_extraction,
         op10_bpe,
+        op11_embedding_whitening,
+        op12_filter_audit,
+        op13_decontamination,
     )
 }
 
@@ -135,4 +154,55 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to, url
         FROM f""",
+    "op12_filter_audit": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\t-\r]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        fails AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                   + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+            FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+        sizes AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        steps AS (
+            SELECT filter_order, s.step, bits[s.step] AS bit, coalesce(list_sum(bits[:s.step - 1]), 0)::INT AS before
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s),
+        counted AS (
+            SELECT part, filter_order, step, bit,
+                   sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept,
+                   sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0) AS removed,
+                   sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0) AS redundant,
+                   sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+                   sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before = 0) AS good_lost,
+                   sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before = 0) AS toxic_lost
+            FROM steps, sizes GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+               coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM counted""",
+    "op13_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL),
+        phrases AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS phrase
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+        hits AS (
+            SELECT doc_id, k, p.m, item_id
+            FROM (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS phrase FROM places, (SELECT DISTINCT m FROM phrases) WHERE k + m - 1 <= len(w)) x
+            JOIN phrases p ON p.phrase = x.phrase AND p.m = x.m),
+        covered AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM (SELECT doc_id, k, unnest(range(0, m)) AS o FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)""",
 }
