@@ -306,9 +306,42 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.clusters_by_closure(with_reposts(spark, sf_dir), F.md5).select("seq", "cluster_id")
 
 
-@query()
+# one opening a step: h holds the home of every opening so far
+_REPLAY_SQL = f"""
+    op AS (SELECT row_number() OVER (ORDER BY o) AS k, * FROM (SELECT co, canon, min(seq) AS o, arg_min(cw, seq) AS cw FROM ks GROUP BY co, canon)),
+    pk AS (SELECT op.k, seq, source, chars, length(ks.canon) AS nc, length(trim(title)) AS nt, s FROM ks JOIN op USING (co, canon)),
+    lt AS (SELECT b.k, a.k AS x, CASE WHEN list_contains(a.cw, 'marine') OR list_contains(b.cw, 'marine') THEN 'weak' ELSE 'strong' END AS kind, '' AS ta, '' AS tb
+           FROM op a JOIN op b ON a.canon = b.canon AND a.cw[1] = b.cw[1] AND a.k < b.k
+           WHERE NOT (list_contains(a.cw, 'marine') OR list_contains(b.cw, 'marine')) OR len(list_intersect(a.cw, b.cw)) = least(len(a.cw), len(b.cw))),
+    lc AS (SELECT b.k, a.k AS x, '' AS kind, a.canon AS ta, b.canon AS tb FROM op a JOIN op b ON a.co = b.co AND a.k < b.k),
+    l AS (SELECT *, starts_with(ta, tb) OR starts_with(tb, ta) AS begins,
+                 len(list_intersect(string_split(ta, ' '), string_split(tb, ' '))) / len(list_distinct(list_concat(string_split(ta, ' '), string_split(tb, ' ')))) >= 0.6 AS shares
+          FROM (SELECT * FROM lt UNION ALL SELECT * FROM lc)),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS h
+          UNION ALL
+          SELECT k + 1, list_append(h, coalesce(first(x ORDER BY kind = '', x) FILTER (WHERE takes), k + 1))
+          FROM (SELECT k, h, x, kind, CASE
+                    WHEN kind = 'strong' THEN true WHEN same THEN false
+                    WHEN kind = 'weak' THEN coalesce(sim >= 0.6, false)
+                    WHEN begins AND shown >= 70 THEN coalesce(sim >= 0.6, true)
+                    ELSE shares AND coalesce(sim >= 0.9, false) END AS takes
+                FROM (SELECT a.*, {_SIM} AS sim
+                      FROM (SELECT r.k, any_value(r.h) AS h, l.x, any_value(kind) AS kind, any_value(begins) AS begins, any_value(shares) AS shares, bool_or(m.source = o.source) AS same,
+                                   any_value(o.s) AS s, first(m.s ORDER BY m.chars DESC, m.seq) AS said,
+                                   CASE WHEN any_value(o.nc) <= min(m.nc) THEN any_value(o.nt) ELSE first(m.nt ORDER BY m.nc, m.seq) END AS shown
+                            FROM r JOIN pk o ON o.k = r.k + 1 JOIN op ON op.k = o.k AND op.o = o.seq
+                                 LEFT JOIN l ON l.k = o.k AND r.h[l.x] = l.x LEFT JOIN pk m ON r.h[m.k] = l.x AND m.seq < o.seq
+                            GROUP BY r.k, l.x) a, LATERAL (SELECT a.said AS s) b))
+          GROUP BY k, h)"""
+
+
+@query(
+    f"WITH RECURSIVE {_REPOSTS_SQL}, {_KEYED_SQL}, {_REPLAY_SQL}"
+    ", home AS (SELECT unnest(h) AS x, generate_subscripts(h, 1) AS k FROM (SELECT h FROM r ORDER BY k DESC LIMIT 1))"
+    " SELECT pk.seq, s.o AS cluster_id FROM pk JOIN home USING (k) JOIN op s ON s.k = home.x"
+)
 def replay_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.clusters_by_replay(with_reposts(spark, sf_dir))
+    return resolve.clusters_by_replay(with_reposts(spark, sf_dir), F.md5)
 
 
 @query()

@@ -84,6 +84,67 @@ def first_fit(spark, rows):
     return out
 
 
+POSTS = "opening long, seq long, source string, n_text int, n_canon int, n_title int, signature array<long>"
+
+
+def plain_first_fit(posts, links):
+    """One pass in order of seq over posts of openings with given links."""
+    to = {}
+    for opening, home, *link in links:
+        to.setdefault(opening, []).append((link[0] == "", home, link))
+    homes, members = {}, {}
+    alike = lambda a, b: (lambda low: len(low & set(a) & set(b)) / len(low))(set(sorted(set(a) | set(b))[:64])) if a and b else None
+    for opening, seq, source, n_text, n_canon, n_title, signature in sorted(posts, key=lambda p: p[1]):
+        if opening not in homes:
+            homes[opening] = opening
+            for _, home, (kind, begins, shares) in sorted(to.get(opening, [])):
+                of = members.get(home, []) if homes.get(home) == home else []
+                if not of:
+                    continue
+                sim = alike(signature, max(of, key=lambda m: m[2])[5])
+                shown = min([(n_canon, n_title), *[(m[3], m[4]) for m in of]], key=lambda x: x[0])[1]
+                if kind == "strong":
+                    fits = True
+                elif any(m[1] == source for m in of):
+                    fits = False
+                elif kind == "weak":
+                    fits = (sim or 0) >= 0.6
+                elif begins and shown >= 70:
+                    fits = sim is None or sim >= 0.6
+                else:
+                    fits = shares and (sim or 0) >= 0.9
+                if fits:
+                    homes[opening] = home
+                    break
+        members.setdefault(homes[opening], []).append((seq, source, n_text, n_canon, n_title, signature))
+    return homes
+
+
+def random_links(rng, n, posts_each=2, links_each=3):
+    seqs = rng.sample(range(n * posts_each * 2), n * posts_each)
+    posts = []
+    for k in range(n):
+        own = sorted(seqs[k * posts_each : (k + 1) * posts_each])
+        posts += [(own[0], q, rng.choice("abcdefgh"), rng.randint(0, 40), rng.randint(5, 9), rng.choice([30, 80]), rng.choice([[], [1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]])) for q in own]
+    firsts = sorted({p[0] for p in posts})
+    links = set()
+    for at, opening in enumerate(firsts[1:], 1):
+        for home in {firsts[rng.randrange(at)] for _ in range(links_each)}:
+            links.add((opening, home, *rng.choice([("strong", False, False), ("weak", False, False), ("", True, True), ("", True, False), ("", False, True)])))
+    return posts, sorted(links)
+
+
+def test_first_fit_in_rounds_equals_one_pass(spark):
+    for seed in (1, 2):
+        posts, links = random_links(random.Random(seed), 120)
+        frames = spark.createDataFrame(posts, POSTS), spark.createDataFrame(links, "opening long, home long, kind string, begins boolean, shares boolean")
+        homes, rounds = resolve.first_fit(*frames, Scratch(spark, "fit"))
+        assert {r["opening"]: r["home"] for r in homes.collect()} == plain_first_fit(posts, links)
+        assert 1 < rounds < 25
+    empty = [f.where("false") for f in frames]
+    assert resolve.first_fit(*empty, Scratch(spark, "fit"))[0].count() == 0
+
+
 def test_signatures_are_crc32_of_shingles(spark):
     words = [f"word{k}" for k in range(120)]
     want = sorted({zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(116)})[:64]
@@ -98,11 +159,11 @@ def test_links_equal_all_pairs(spark):
     titles = ["Data Lead", "Data Team Lead", "Senior Data Team Lead", "Cook", "Lead", "Lead Cook of all " + "very " * 12 + "large kitchens", "Lead Cook of all " + "very " * 12 + "lar"]
     rows = [{"company": rng.choice(companies), "title": rng.choice(titles)} for _ in range(150)]
     o = resolve._openings(resolve.with_keys(postings(spark, rows)))
-    pairs = o.alias("x").crossJoin(o.alias("y")).where("x.match_key < y.match_key")
+    pairs = o.alias("x").crossJoin(o.alias("y")).where("x.opening < y.opening")
     match = T.company_match(F.col("x.company_words"), F.col("y.company_words"))
-    want = pairs.where("x.canon = y.canon").select("x.match_key", "y.match_key", match.alias("kind")).where("kind <> ''").collect()
+    want = pairs.where("x.canon = y.canon").select("x.opening", "y.opening", match.alias("kind")).where("kind <> ''").collect()
     assert sorted(map(tuple, resolve.title_links(o).collect())) == sorted(map(tuple, want)) != []
-    both = [r for r in pairs.where("x.collapsed = y.collapsed").select(F.col("x.match_key").alias("a"), F.col("y.match_key").alias("b"), F.col("x.canon").alias("s"), F.col("y.canon").alias("t")).collect()]
+    both = [r for r in pairs.where("x.collapsed = y.collapsed").select(F.col("x.opening").alias("a"), F.col("y.opening").alias("b"), F.col("x.canon").alias("s"), F.col("y.canon").alias("t")).collect()]
     close = {(r["a"], r["b"]) for r in both if len(set(r["s"].split()) & set(r["t"].split())) >= 0.6 * len(set(r["s"].split()) | set(r["t"].split()))}
     begins = {(r["a"], r["b"]) for r in both if r["s"].startswith(r["t"]) or r["t"].startswith(r["s"])}
     got = resolve.company_links(o).collect()
@@ -137,6 +198,24 @@ def test_one_id_for_one_cluster(spark):
     assert got == {0: "old", 1: "zeta|engineer"}
 
 
+def test_ids_are_given_in_order_of_clusters(spark):
+    """An earlier cluster that is refused its first choice still goes before later ones at its second."""
+    rng = random.Random(4)
+    wishes = {k: rng.sample("ABCDEFGH", rng.randint(0, 4)) for k in range(25)}
+    rows, taken, want = [], set(), {}
+    for k, uids in wishes.items():
+        rows += [(f"a{k}-{at}-{n}", uid, 1) for at, uid in enumerate(uids) for n in range(9 - at)]
+    book = spark.createDataFrame(rows, "alias string, uid string, seen long")
+    clusters = [(k, f"a{k}-{at}-{n}", "m") for k, uids in wishes.items() for at, _ in enumerate(uids) for n in range(9 - at)] + [(k, f"own{k % 3}", "m") for k in wishes]
+    clustered = spark.createDataFrame(clusters, "cluster_id long, raw_key string, match_key string")
+    best = spark.createDataFrame([(k, f"own{k % 3}", f"u{k % 2}") for k in wishes], "cluster_id long, raw_key string, url string")
+    for k, uids in wishes.items():
+        h = zlib.crc32(f"u{k % 2}".encode())
+        want[k] = next(u for u in [*uids, f"own{k % 3}", f"own{k % 3}#{h}", f"own{k % 3}#{h}-{k}"] if u not in taken)
+        taken.add(want[k])
+    assert {r["cluster_id"]: r["uid"] for r in resolve.stable_ids(clustered, best, book).collect()} == want
+
+
 def test_components_of_the_library(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (8, 9)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges, Scratch(spark, "t")).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
