@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tables(self, **frames: DataFrame) -> list[DataFrame]:
+        """Tables that don't need each other, written at the same time: small stages leave cores free for one another."""
+        with ThreadPoolExecutor(len(frames)) as pool:
+            jobs = [pool.submit(inheritable_thread_target(self.spark)(self.table), df, name) for name, df in frames.items()]
+            return [j.result() for j in jobs]
+
     def discard(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that no later step reads."""
         for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
