@@ -1,4 +1,4 @@
-"""Keyed state as versioned tables: ``new = f(old, changes)``, written next to the old version.
+"""Rules of keyed state: ``new = f(old, changes)``, for ``buckets.BucketTable`` and for whole tables.
 
 Spark's file tables have no merge, so each rule below maps the old rows and the changes to the new rows in one shuffle on the
 key. Changes carry an ``arrival`` column, ascending within a run.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -106,29 +106,3 @@ def count_with_guard(events: DataFrame, key: str, ts: str, most: int) -> DataFra
     daily = events.groupBy(F.to_date(ts).alias("day"), key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ts, "event_id")).alias("first"))
     order = F.row_number().over(Window.partitionBy("day").orderBy("first"))
     return daily.withColumn("_k", order).where(F.col("_k") <= most).drop("_k", "first")
-
-
-class VersionedTable:
-    """Versions of a table under one folder, ``v=1``, ``v=2``, …; the newest complete one is current. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def version(self) -> int:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return 0
-        names = [s.getPath() for s in fs.listStatus(folder)]
-        done = [int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=0)
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v}") if v else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame) -> int:
-        v = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        return v

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import values as V
 from ..operators import state
+from ..operators.buckets import BucketTable
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -37,15 +38,27 @@ ROWS = 50_000
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``event_id`` and microseconds of one key's rows in a micro-batch, in order of time, in chunks. Only these two numbers of
     each row are held, and a micro-batch bounds their count (``files_per_batch``)."""
-    parts = [(b["event_id"].to_numpy(np.int64), b["ts"].to_numpy("datetime64[us]").astype(np.int64)) for b in batches]
+    parts = [(b["event_id"].to_numpy(np.int64), b["at"].to_numpy("datetime64[us]").astype(np.int64)) for b in batches]
     ids, times = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((ids, times))
     for at in range(0, len(order), ROWS):
         yield ids[order[at : at + ROWS]], times[order[at : at + ROWS]]
 
 
+def _expire(held: GroupState, at: int) -> None:
+    """State is dropped when the watermark reaches this time (in microseconds)."""
+    due = -(-at // 1000)
+    if due > held.getCurrentWatermarkMs():
+        held.setTimeoutTimestamp(due)
+    else:
+        held.remove()
+
+
 def _limit(most: int, seconds: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         recent = deque(held.get[0] if held.exists else [])
         for ids, times in _in_order(batches):
             allowed = []
@@ -57,21 +70,31 @@ def _limit(most: int, seconds: int):
                     recent.append(t)
             yield pd.DataFrame({"event_id": ids, "user_id": key[0], "ts": times.astype("datetime64[us]"), "allowed": allowed})
         held.update((list(recent),))
+        _expire(held, (recent[-1] if recent else 0) + seconds * 1_000_000)
 
     return run
 
 
-def rate_limit(events: DataFrame, most: int = 5, seconds: int = 3600) -> DataFrame:
+def _timed(events: DataFrame, late: str, *columns: str) -> DataFrame:
+    """The columns with ``at``, the event's time without a zone; the watermark stays on ``ts``."""
+    stream = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return stream.select("event_id", *columns, "ts", F.col("ts").cast("timestamp_ntz").alias("at"))
+
+
+def rate_limit(events: DataFrame, most: int = 5, seconds: int = 3600, late: str = "1 day") -> DataFrame:
     """ST-02: at most so many hits in a sliding window of each user; rejected hits aren't recorded. Stream form; hits of one
-    micro-batch are taken in order of time. A user's state holds the last hits only."""
-    stream = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return stream.groupBy("user_id").applyInPandasWithState(
-        _limit(most, seconds), "event_id long, user_id long, ts timestamp_ntz, allowed boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout
+    micro-batch are taken in order of time, micro-batches as they come: files should come in order of time. A user's state
+    holds the last hits only, and goes when the watermark (``late`` behind the newest event) has left them behind."""
+    return _timed(events, late, "user_id").groupBy("user_id").applyInPandasWithState(
+        _limit(most, seconds), "event_id long, user_id long, ts timestamp_ntz, allowed boolean", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def _repeat(days: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         last = held.get[0] if held.exists else None
         for ids, times in _in_order(batches):
             shown = []
@@ -81,28 +104,35 @@ def _repeat(days: int):
                     last = t
             yield pd.DataFrame({"event_id": ids[shown], "user_id": key[0], "event_type": key[1], "ts": times[shown].astype("datetime64[us]")})
         held.update((last,))
+        _expire(held, last + days * 86_400_000_000)
 
     return run
 
 
-def repeat_after(events: DataFrame, days: int = V.REPEAT_DAYS) -> DataFrame:
-    """ST-03: an item is shown to a user again only so many days after it was last shown."""
-    stream = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return stream.groupBy("user_id", "event_type").applyInPandasWithState(
-        _repeat(days), "event_id long, user_id long, event_type string, ts timestamp_ntz", "last long", "append", GroupStateTimeout.NoTimeout
+def repeat_after(events: DataFrame, days: int = V.REPEAT_DAYS, late: str = "1 day") -> DataFrame:
+    """ST-03: an item is shown to a user again only so many days after it was last shown. Order as in ``rate_limit``.
+
+    The state of a user and item goes when the watermark is so many days past the last showing: whatever comes then may be
+    shown anyway, so nothing is lost, and what is kept grows with what was shown in that time, not with all that ever was.
+    """
+    return _timed(events, late, "user_id", "event_type").groupBy("user_id", "event_type").applyInPandasWithState(
+        _repeat(days), "event_id long, user_id long, event_type string, ts timestamp_ntz", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def once_ever(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
-    """ST-04: the first event of each key; with a watermark, keys are forgotten after it."""
+    """ST-04: the first event of each key. Once ever means that every key is kept for ever; with a watermark, keys are forgotten
+    after it and may come again."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
 
 
-def upsert_stream(changes: DataFrame, table: state.VersionedTable, keys: list[str], checkpoint: str, keep_first: tuple[str, ...] = ()):
-    """ST-05/08: changes into a versioned table, last wins; a repeated batch gives the same version's content again."""
+def upsert_stream(changes: DataFrame, table: BucketTable, checkpoint: str, keep_first: tuple[str, ...] = (), name: str = "upserts"):
+    """ST-05/08: changes into a bucketed table, last wins. Only buckets that a micro-batch touches are rewritten; the batch's
+    number is in the commit, so a batch that is repeated after a crash changes nothing. ``name`` tells streams into one table
+    apart and goes with the checkpoint: a new checkpoint needs a new name."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(state.last_wins(table.read(), batch, keys, keep_first))
+        table.merge(batch, lambda old, new: state.last_wins(old, new, table.keys, keep_first), batch_id, name)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -117,3 +147,15 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, complete: bool =
     else:
         writer.format("parquet").option("path", path).outputMode("append").start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_stateful(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """``run_to_files`` for streams with timers and state variables, which need the RocksDB state store; the session's own setting
+    is put back."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run_to_files(stream, path, checkpoint)
+    finally:
+        conf.set(name, before)

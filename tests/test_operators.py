@@ -198,6 +198,25 @@ def test_one_id_for_one_cluster(spark):
     assert got == {0: "old", 1: "zeta|engineer"}
 
 
+def test_the_book_stays_where_it_is(spark):
+    rows = spark.range(2000).selectExpr("concat('a', id) AS alias", "concat('u', id) AS uid", "id AS seen")
+    asked = spark.range(0, 2000, 3).selectExpr("id AS cluster_id", "concat('a', id) AS raw_key", "'m' AS match_key", "concat('own', id) AS own")
+    spark.sql("DROP TABLE IF EXISTS test_book")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for _ in range(2):  # the second replaces the first
+            book = resolve.save_book(rows, "test_book", 16)
+        joined = book.select("alias", "uid").join(resolve.cluster_aliases(asked), "alias")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 667 and "Bucketed: true" in plan and "hashpartitioning(alias" in plan
+        scan = plan[: plan.index("FileScan")].splitlines()[-4:]
+        assert not any("Exchange" in line for line in scan), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS test_book")
+
+
 def test_ids_are_given_in_order_of_clusters(spark):
     """An earlier cluster that is refused its first choice still goes before later ones at its second."""
     rng = random.Random(4)
@@ -320,12 +339,10 @@ def test_digest_is_the_greedy_choice(spark):
     assert [r["rank"] for r in both] == list(range(1, len(both) + 1)) and both[2]["seq"] == 999
 
 
-def test_versions(spark, tmp_path):
-    t = state.VersionedTable(spark, f"file://{tmp_path}/t", "k string, v int")
-    assert t.read().count() == 0 and t.write(spark.createDataFrame([("a", 1)], t.schema)) == 1
+def test_rules_of_state(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
     change = spark.createDataFrame([("a", 2, 0), ("b", 3, 1), ("b", 4, 2)], "k string, v int, arrival long")
-    t.write(state.last_wins(t.read(), change, ["k"]))
-    assert {(r["k"], r["v"]) for r in t.read().collect()} == {("a", 2), ("b", 4)} and t.version() == 2
-    assert {(r["k"], r["v"]) for r in state.insert_or_ignore(t.read(), change, ["k"]).collect()} == {("a", 2), ("b", 4)}
+    assert {(r["k"], r["v"]) for r in state.last_wins(old, change, ["k"]).collect()} == {("a", 2), ("b", 4)}
+    assert {(r["k"], r["v"]) for r in state.insert_or_ignore(old, change, ["k"]).collect()} == {("a", 1), ("b", 3)}
     filled = state.fill_if_empty(spark.createDataFrame([("a", ""), ("b", "x")], "k string, w string"), spark.createDataFrame([("a", "y", 0), ("b", "z", 0)], "k string, w string, arrival long"), ["k"], ["w"])
     assert {(r["k"], r["w"]) for r in filled.collect()} == {("a", "y"), ("b", "x")}

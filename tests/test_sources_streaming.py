@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.model.client import chat, judge_titles
 from gleaner.operators import catalog, discovery
-from gleaner.operators.state import VersionedTable
+from gleaner.operators.buckets import BucketTable
 from gleaner.sources import boards
 from gleaner.streaming import jobs
 
@@ -117,10 +117,10 @@ def test_repeats_and_counts(spark, tmp_path):
 
 def test_upsert_stream(spark, tmp_path):
     _, stream = events(spark, tmp_path)
-    table = VersionedTable(spark, f"file://{tmp_path}/state", "user_id long, event_id long")
+    table = BucketTable(spark, f"file://{tmp_path}/state", "user_id long, event_id long", ["user_id"], 4)
     changes = stream.select("user_id", "event_id", F.col("event_id").alias("arrival"))
     for _ in range(2):  # the second run finds nothing new
-        jobs.upsert_stream(changes, table, ["user_id"], f"{tmp_path}/c4").awaitTermination()
+        jobs.upsert_stream(changes, table, f"{tmp_path}/c4").awaitTermination()
     want = spark.read.parquet(f"{tmp_path}/events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     assert {tuple(r) for r in table.read().collect()} == {tuple(r) for r in want.collect()} and table.version() == 1
 
