@@ -347,22 +347,22 @@ def replay_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ids_sql(n: int, rows: str, book: str) -> str:
     """Clusters of ``rows`` take ids one after the other, in order; ``used`` holds the ids that are gone."""
     return f"""
-    c{n} AS (SELECT *, min(seq) OVER (PARTITION BY k) AS cid FROM w WHERE {rows}),
+    c{n} AS MATERIALIZED (SELECT *, min(seq) OVER (PARTITION BY k) AS cid FROM w WHERE {rows}),
     a{n} AS (SELECT DISTINCT cid, unnest([rk, 'm:' || k]) AS alias FROM c{n}),
     b{n} AS (SELECT DISTINCT ON (cid) cid, rk, rk || '#' || md5(url) AS other FROM c{n} ORDER BY cid, direct DESC, partner = '' DESC, length(text) DESC, coalesce(salary_max, 0) <> 0 DESC, seq),
-    h{n} AS (SELECT cid, uid, count(*) AS n FROM a{n} JOIN {book} USING (alias) GROUP BY ALL),
-    w{n} AS (SELECT cid, list_concat(coalesce(ids, []), [rk, other, other || '-' || cid]) AS wishes, row_number() OVER (ORDER BY cid) AS place
+    h{n} AS MATERIALIZED (SELECT cid, uid, count(*) AS n FROM a{n} JOIN {book} USING (alias) GROUP BY ALL),
+    w{n} AS MATERIALIZED (SELECT cid, list_concat(coalesce(ids, []), [rk, other, other || '-' || cid]) AS wishes, row_number() OVER (ORDER BY cid) AS place
              FROM b{n} LEFT JOIN (SELECT cid, list(uid ORDER BY n DESC, uid) AS ids FROM h{n} GROUP BY cid) USING (cid)),
     u{n} AS (SELECT 0::BIGINT AS place, NULL::BIGINT AS cid, NULL::VARCHAR AS uid, []::VARCHAR[] AS used
              UNION ALL
              SELECT place, cid, uid, list_append(used, uid) FROM (SELECT x.place, x.cid, list_filter(x.wishes, lambda i: NOT list_contains(u.used, i))[1] AS uid, u.used FROM u{n} u JOIN w{n} x ON x.place = u.place + 1)),
-    i{n} AS (SELECT cid AS cluster_id, uid FROM u{n} WHERE cid IS NOT NULL)"""
+    i{n} AS MATERIALIZED (SELECT cid AS cluster_id, uid FROM u{n} WHERE cid IS NOT NULL)"""
 
 
 @query(
-    f"WITH RECURSIVE {STAR_SQL}, {_CANON_SQL}, w AS (SELECT p.*, array_to_string({_COMPANY}, '') || '|' || canon AS k, {_RAW_KEY} AS rk FROM p JOIN canon USING (seq)),"
+    f"WITH RECURSIVE {STAR_SQL}, {_CANON_SQL}, w AS MATERIALIZED (SELECT p.*, array_to_string({_COMPANY}, '') || '|' || canon AS k, {_RAW_KEY} AS rk FROM p JOIN canon USING (seq)),"
     f" none AS (SELECT '' AS alias, '' AS uid WHERE false), {_ids_sql(1, 'seq % 2 = 0', 'none')},"
-    f" book AS (SELECT alias, min(uid) AS uid FROM a1 JOIN i1 ON i1.cluster_id = a1.cid GROUP BY alias), {_ids_sql(2, 'true', 'book')} SELECT * FROM i2"
+    f" book AS MATERIALIZED (SELECT alias, min(uid) AS uid FROM a1 JOIN i1 ON i1.cluster_id = a1.cid GROUP BY alias), {_ids_sql(2, 'true', 'book')} SELECT * FROM i2"
 )
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs: ids of the first half of the postings are remembered, then all are resolved."""
