@@ -50,6 +50,8 @@ BLOCKS = frozenset(
     "head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section table tbody td tr center blockquote".split())
+BOXES = CONTAINERS - frozenset("article body main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("head script style noscript template iframe object svg canvas select button textarea form nav footer aside menu dialog".split())
 BESIDE = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead "
@@ -146,8 +148,14 @@ class Block:
     main: bool
     slot: bool
     dropped: bool
+    heading: bool
     beside: bool = False
 
+    def constant(self, template: Template) -> bool:
+        """Whether it goes because it stands on the host's pages whatever they hold. An article or main element says itself what
+        is the page's own, and a heading may well be the same on every page."""
+        return not (self.article or self.main or self.heading) and self.mark in template.constants
+
 
 @dataclass(slots=True)
 class Open:
@@ -255,7 +263,7 @@ def parse(text: str, template: Template | None = None) -> Page:
         parts.clear()
         if whole:
             top = stack[-1]
-            b = Block(whole, digest(f"{top.path}|{whole}"), min(linked, len(whole)), top.skipped, top.named, top.article, top.main, top.slot, top.dropped)
+            b = Block(whole, digest(f"{top.path}|{whole}"), min(linked, len(whole)), top.skipped, top.named, top.article, top.main, top.slot, top.dropped, top.tag in HEADINGS)
             page.blocks.append(b)
             if not b.skipped and b.linked < len(whole):
                 top.owner.chars += len(whole) - b.linked
@@ -329,7 +337,8 @@ def parse(text: str, template: Template | None = None) -> Page:
             page.elements.setdefault(e.path, [up.path, name, 0, 0, 0])[2] += 1
             if template is not None:
                 e.slot = up.slot or e.path == template.main
-                e.dropped = up.dropped or e.path in template.dropped
+                # within an article or main element only whole boxes go: a byline is the same on many pages, too
+                e.dropped = up.dropped or e.path in template.dropped and (tag in BOXES or not (up.article or up.main))
         links += tag == "a"
         if up.named >= 0 and (tag in ("h1", "main") or tag == "article" and not said):
             names.wraps[up.named] = True
@@ -356,7 +365,7 @@ def extract(text: str, template: Template | None = None) -> str:
     if template is not None:
         blocks = parse(text, template).blocks
         if any(b.slot and not b.dropped for b in blocks):
-            return "\n".join(b.text for b in blocks if b.slot and not b.dropped and not b.beside and b.mark not in template.constants)
+            return "\n".join(b.text for b in blocks if b.slot and not b.dropped and not b.beside and not b.constant(template))
     blocks = [b for b in parse(text).blocks if not b.beside]
     inside = [b for b in blocks if b.article] or [b for b in blocks if b.main] or blocks
     return "\n".join(b.text for b in inside)

@@ -39,6 +39,8 @@ MAX_FIT_ROWS = 20_000
 MIN_FAMILIES = 3
 MIN_WEIGHT = 3.0
 PREFIXES = range(4, 9)
+#: Different words that only toxic texts have and that share a beginning before it can be an entry.
+MIN_FORMS = 3
 CUT = 0.3
 
 _FOLD = str.maketrans(_LETTERS + SIGNS, _LETTERS_LIKE + SIGNS_LIKE)
@@ -132,8 +134,10 @@ def fit_lexicon(
     At most ``max_rows`` labelled rows are read, which also bounds what comes to the driver: their terms, pairs and features. A
     term's weight is its smoothed log-odds between the classes, counted in
     families of documents (by one minimum hash of three-word shingles) so that copies of one text don't vouch for each other.
-    A term needs so many toxic families that chance alone would hardly yield one such among all terms. Word beginnings are
-    counted from the word table. A pair of words with an entry inside that clean families use more than toxic
+    A word needs so many toxic families that chance alone would hardly yield one such among all words; words of one or two
+    letters are none. The beginning of words becomes an entry only where ``MIN_FORMS`` different words that no clean text has
+    share it, so that one toxic word doesn't condemn all words that begin like it; all its words together must pass as a word
+    does. A pair of words with an entry inside that clean families use more than toxic
     ones becomes an exception. Without labels of both classes the lexicon is empty and every score is the curve's floor.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -154,15 +158,18 @@ def fit_lexicon(
         .groupBy("word")
         .agg(*[F.countDistinct(F.when(F.col("y") == v, F.col("family"))).alias(n) for v, n in ((1, "a"), (0, "b"))])
     )
-    exact = table.select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("term"), "a", "b")
-    starts = table.select(F.explode(F.array(*[F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in PREFIXES])).alias("term"), "a", "b")
-    starts = starts.where("term is not null").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1.0))
-    terms = scratch.table(exact.union(starts), "terms")
+    table = scratch.table(table, "words")
     chance = sizes[1] / (sizes[0] + sizes[1])
-    least = max(MIN_FAMILIES, math.ceil(math.log(max(2, terms.count())) / math.log(1 / chance)))
-    found = terms.withColumn("w", odds).where((F.col("a") >= least) & (F.col("w") >= MIN_WEIGHT) & (F.col("b") * 10 <= F.col("a")))
-    weights = {r["term"]: r["w"] for r in found.orderBy("term").collect()}
+    least = max(MIN_FAMILIES, math.ceil(math.log(max(2, table.count())) / math.log(1 / chance)))
+    odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1.0))
+    toxic = (F.col("a") >= least) & (odds >= MIN_WEIGHT) & (F.col("b") * 10 <= F.col("a"))
+    judged = table.withColumns({"w": odds, "entry": toxic})
+    exact = judged.where("entry").select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("term"), "w")
+    begin = F.explode(F.array(*[F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in PREFIXES]))
+    starts = judged.select(begin.alias("term"), "a", "b").where("term is not null").groupBy("term")
+    starts = starts.agg(F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("forms"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    starts = starts.where((F.col("forms") >= MIN_FORMS) & toxic).select("term", odds.alias("w"))
+    weights = {r["term"]: r["w"] for r in exact.union(starts).orderBy("term").collect()}
     lexicon = Lexicon(weights, exceptions)
     if not weights:
         return lexicon
@@ -172,7 +179,7 @@ def fit_lexicon(
     learned = tuple(sorted(r["pair"] for r in spots.select("pair").collect()))
     lexicon = Lexicon(weights, exceptions + learned)
     data = np.array([tuple(r) for r in _spots(rows, lexicon).select("f1", "f2", "y").collect()], float)
-    scratch.discard(rows, terms)
+    scratch.discard(rows, table)
     return Lexicon(weights, lexicon.exceptions, _curve(data[:, :2], data[:, 2]))
 
 

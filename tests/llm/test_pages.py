@@ -191,6 +191,21 @@ def test_classes_decide_without_telling_names(spark):
     assert all(got[2000 + i] == t for i, (_, t) in enumerate(made))
 
 
+@pytest.mark.parametrize("n", [5, 12, 40, 400])
+@pytest.mark.parametrize("wrap", ["main", "main article", "article"])
+def test_headings_and_bylines_of_articles_stay(spark, n, wrap):
+    """Whatever the number of pages, what all articles of a host have in common is still theirs."""
+    begin, end = "".join(f"<{t}>" for t in wrap.split()), "".join(f"</{t}>" for t in reversed(wrap.split()))
+    page = (
+        "<html><body><nav><a href=/>Home</a></nav><div class=top>Welcome to the site</div>{b}<h1>Dish {k}</h1><p class=byline>By the kitchen team</p>"
+        "<h2>Ingredients</h2><p>Take {k} eggs and {m} onions for it.</p><h2>Method</h2><p>Cook for {k} minutes, then stir {m} times.</p>{e}<div class=bottom>All rights reserved</div></body></html>"
+    )
+    rows = [(k, f"https://h.example/{k}", page.format(k=k, m=k * 7 % 101, b=begin, e=end)) for k in range(n)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(n):
+        assert got[k].split("\n") == [f"Dish {k}", "By the kitchen team", "Ingredients", f"Take {k} eggs and {k * 7 % 101} onions for it.", "Method", f"Cook for {k} minutes, then stir {k * 7 % 101} times."]
+
+
 def test_few_pages_leave_it_to_names(spark):
     page = "<html><body><div class=ad>Buy {0}</div><div class=text><p>One two three {0}</p><div class=newsletter>Join {0}</div></div></body></html>"
     got = {r["page_id"]: r["text"] for r in H.extract_pages(frame(spark, [(i, "http://a.example/", page.format(i)) for i in range(3)])).collect()}
