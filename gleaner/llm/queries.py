@@ -131,21 +131,47 @@ ORACLE_SQL = {
             SELECT p.*, md5(trim(regexp_replace(lower(substring(d.text, (a + 1)::BIGINT, (b - a)::BIGINT)), '[\x20\t-\r]+', ' ', 'g'))) AS digest
             FROM paragraphs p JOIN documents d USING (doc_id)),
         ranked AS (
-            SELECT *, first_value(doc_id) OVER w AS f_doc, first_value(last) OVER w AS f_last
+            SELECT *, first_value(doc_id) OVER w AS f_doc, first_value(pos) OVER w AS f_pos, first_value(last) OVER w AS f_last
             FROM named WINDOW w AS (PARTITION BY digest ORDER BY doc_id, pos)),
         own AS (SELECT *, first_value(last) OVER (PARTITION BY digest, doc_id ORDER BY pos) AS o_last FROM ranked),
-        removed AS (SELECT doc_id, pos, last, a, b FROM own WHERE doc_id <> f_doc OR pos > o_last),
-        edges AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS apart FROM removed),
+        removed AS (
+            SELECT *, coalesce(pos - lag(pos) OVER w > 1, true) OR coalesce(lead(pos) OVER w - pos > 1, true) AS edge
+            FROM own WHERE doc_id <> f_doc OR pos > o_last WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        tokens AS (
+            SELECT doc_id, ordinality AS k, ltrim(unnest, E' \t\n\r\x0b\f') AS word, sum(length(unnest)) OVER (PARTITION BY doc_id ORDER BY ordinality) AS e
+            FROM documents, unnest(regexp_extract_all(text, '[\x20\t-\r]*[^\x20\t-\r]+')) WITH ORDINALITY),
+        words AS (SELECT doc_id, list(lower(word) ORDER BY k) AS w, list(e - length(word) ORDER BY k) AS s, list(e ORDER BY k) AS e FROM tokens GROUP BY doc_id),
+        asked AS (
+            SELECT r.doc_id, r.pos, d.before AS i, e.before + e.n AS j, r.f_doc, r.f_pos, r.f_last, f.before AS fi, g.before + g.n AS fj
+            FROM removed r JOIN counted d USING (doc_id, pos) JOIN counted e ON e.doc_id = r.doc_id AND e.pos = r.last
+                 JOIN counted f ON f.doc_id = r.f_doc AND f.pos = r.f_pos JOIN counted g ON g.doc_id = r.f_doc AND g.pos = r.f_last
+            WHERE edge AND r.doc_id <> r.f_doc),
+        places AS (SELECT DISTINCT f_doc, f_pos, f_last, fj FROM asked),
+        lefts AS (SELECT f_doc, f_pos, arg_max(n, u.pos) AS reach FROM places JOIN counted u ON u.doc_id = f_doc AND u.pos < f_pos AND n > 0 GROUP BY ALL),
+        behind AS (SELECT f_doc, f_pos, u.before + u.n - fj AS c FROM places JOIN counted u ON u.doc_id = f_doc AND u.pos > f_last),
+        rights AS (
+            SELECT f_doc, f_pos, coalesce(min(c) FILTER (c > enough), max(c)) AS reach
+            FROM behind JOIN (SELECT f_doc, f_pos, min(c) FILTER (c >= 20) AS enough FROM behind GROUP BY ALL) USING (f_doc, f_pos) GROUP BY ALL),
+        grown AS (
+            SELECT x.doc_id, x.pos, d.s, d.e, i, j,
+                   list_transform(range(1, (least(coalesce(l.reach, 0), i) + 1)::BIGINT), lambda t: d.w[(i - t + 1)::BIGINT] = f.w[(fi - t + 1)::BIGINT]) AS before,
+                   list_transform(range(1, (least(coalesce(r.reach, 0), len(d.w) - j) + 1)::BIGINT), lambda t: d.w[(j + t)::BIGINT] = f.w[(fj + t)::BIGINT]) AS after
+            FROM asked x JOIN words d USING (doc_id) JOIN words f ON f.doc_id = f_doc LEFT JOIN lefts l USING (f_doc, f_pos) LEFT JOIN rights r USING (f_doc, f_pos)),
+        sides AS (
+            SELECT doc_id, pos, s[(i - coalesce(nullif(list_position(before, false), 0) - 1, len(before)) + 1)::BIGINT] AS a, e[(j + coalesce(nullif(list_position(after, false), 0) - 1, len(after)))::BIGINT] AS b
+            FROM grown),
+        whole AS (SELECT r.doc_id, least(r.a, coalesce(x.a, r.a)) AS a, greatest(r.b, coalesce(x.b, r.b)) AS b FROM removed r LEFT JOIN sides x USING (doc_id, pos)),
+        edges AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS apart FROM whole),
         spans AS (
             SELECT doc_id, min(a) AS a, max(b) AS b
-            FROM (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM edges) GROUP BY doc_id, k),
-        kept AS (SELECT m.* FROM measured m ANTI JOIN spans s ON s.doc_id = m.doc_id AND m.a >= s.a AND m.b <= s.b),
-        texts AS (SELECT doc_id, string_agg(unit, '' ORDER BY pos) AS text FROM kept GROUP BY doc_id),
+            FROM (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM edges) GROUP BY doc_id, k),
+        gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
         gone AS (
-            SELECT doc_id, count(*)::INT AS n, '[' || string_agg('{"start":' || a::BIGINT || ',"end":' || b::BIGINT || '}', ',' ORDER BY a) || ']' AS removed
-            FROM spans GROUP BY doc_id)
-        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(g.n, 0) AS n_removed, coalesce(g.removed, '[]') AS removed_spans
-        FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN gone g USING (doc_id)""",
+            SELECT doc_id, count(*)::INT AS n, '[' || string_agg('{"start":' || a::BIGINT || ',"end":' || b::BIGINT || '}', ',' ORDER BY a) || ']' AS removed,
+                   string_agg(substring(d.text, (since + 1)::BIGINT, (a - since)::BIGINT), '' ORDER BY a) || substring(any_value(d.text), (max(b) + 1)::BIGINT) AS text
+            FROM gaps JOIN documents d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(g.text, d.text) AS text, coalesce(g.n, 0) AS n_removed, coalesce(g.removed, '[]') AS removed_spans
+        FROM documents d LEFT JOIN gone g USING (doc_id)""",
     "op4_warc": """
         WITH p AS (
             SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -4,18 +4,21 @@ A unit is a line, cut further behind punctuation that white space follows, so th
 line or sentence still holds whole units. Every unit begins a paragraph: itself and as many units behind it as it takes to
 reach ``MIN_WORDS`` words. A unit of that many words is its own paragraph; shorter ones (headings, list items, hard-wrapped
 lines) count together. Digests of all paragraphs of all documents are grouped, and a paragraph that repeats an earlier one
-is removed with all its units. Whatever is removed stays at an earlier place.
+is removed with all its units. A passage may begin and end inside a unit: where a run of such paragraphs begins or ends, it
+is lengthened word by word for as long as the words are those beside the first occurrence. Whatever is removed stays at an
+earlier place.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -27,6 +30,7 @@ MIN_WORDS = 20
 # Where a unit ends: a line feed, or punctuation with closing signs and one blank behind it.
 _END = r"[.!?,;:][!-/:-@\[-^`{-~]{0,8}[ \t]|\n"
 _BYTES_END, _TEXT_END = re.compile(_END.encode()), re.compile(_END)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPAN = "struct<start:int,end:int>"
 
 
@@ -98,33 +102,121 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, pos, high``: the first units of all paragraphs that repeat an earlier one, in no order, and their digests.
+    """``doc_id, cut``: all paragraphs that repeat an earlier one: first unit, digest, and the place of the first occurrence,
+    ascending.
 
     Rank is (doc_id, unit). Only digests and positions are shuffled. Counting is pre-aggregated, and a paragraph that a third
     of the corpus shares meets its first occurrence in a skewed join that Spark splits.
     """
     found = paragraphs(docs, id_col, text_col, min_words)
-    first = found.groupBy("high", "low").agg(F.min("doc_id").alias("f_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # written, so that Spark can split the hot side of the join
-    first = Scratch(docs.sparkSession, "passages").table(first.select("high", "low", "f_doc"), "first")
+    first = Scratch(docs.sparkSession, "passages").table(first.select("high", "low", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos")), "first")
     later = found.join(first, ["high", "low"]).where("doc_id <> f_doc or again")
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "high")).alias("cut"))
+    return later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "high", "f_doc", "f_pos"))).alias("cut"))
 
 
-def _without(text: str, wanted: dict[int, set[int]], min_words: int) -> tuple[str, list[dict[str, int]]]:
-    """A text without the paragraphs that begin at some units and have their digests, and the spans that went."""
-    p = _Paragraphs(_encode(pa.array([text])), min_words)
-    ends = [m.end() for m in _TEXT_END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
+class _Neighbours:
+    """Words of a text by place, and the paragraphs by first unit, for what stands beside them."""
+
+    def __init__(self, text: str, min_words: int):
+        p = _Paragraphs(_encode(pa.array([text])), min_words)
+        self.ends = [m.end() for m in _TEXT_END.finditer(text)]
+        if not self.ends or self.ends[-1] < len(text):
+            self.ends.append(len(text))
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+        self.text, self.min_words = text, min_words
+        self.paragraphs = list(zip(p.start.tolist(), p.end.tolist(), p.high.tolist(), strict=True))
+
+    def unit_begin(self, k: int) -> int:
+        return self.ends[k - 1] if k else 0
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return self.unit_begin(start), self.ends[end - 1]
+
+    def spell(self, a: int, b: int) -> list[str]:
+        """The words between two offsets, in lower case."""
+        return [self.text[x:y].lower() for x, y in self.words[bisect_left(self.starts, a) : bisect_left(self.starts, b)]]
+
+    def beside(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """The words of the unit before a paragraph, and those behind it: of as many units as reach a paragraph's length, and of
+        one more. A passage that goes on further would hold another whole paragraph."""
+        k = start
+        before: list[str] = []
+        while k and not before:
+            k -= 1
+            before = self.spell(self.unit_begin(k), self.ends[k])
+        after: list[str] = []
+        full = False
+        for j in range(end, len(self.ends)):
+            after += self.spell(self.unit_begin(j), self.ends[j])
+            if full and len(after) > enough:
+                break
+            if not full and len(after) >= self.min_words:
+                full, enough = True, len(after)
+        return before, after
+
+    def lengthen(self, a: int, b: int, before: list[str] | None, after: list[str] | None) -> tuple[int, int]:
+        """A span with the words to both sides that equal these."""
+        i, j = bisect_left(self.starts, a), bisect_left(self.starts, b)
+        for word in reversed(before or ()):
+            if not i or self.text[slice(*self.words[i - 1])].lower() != word:
+                break
+            i -= 1
+            a = self.starts[i]
+        for word in after or ():
+            if j == len(self.words) or self.text[slice(*self.words[j])].lower() != word:
+                break
+            b = self.words[j][1]
+            j += 1
+        return a, b
+
+
+def _edges(cut: Column) -> Column:
+    """Of the paragraphs of a text those with no neighbour that goes, too, on one side; not those that repeat their own text."""
+    apart = lambda x, y: ~F.coalesce(F.abs(x["pos"] - y["pos"]) <= 1, F.lit(False))
+    return F.filter(cut, lambda x, i: apart(x, F.get(cut, i - 1)) | apart(x, F.get(cut, i + 1)))
+
+
+def edge_words(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``doc_id, sides``: for the paragraphs at the edges of what goes, the words beside their first occurrences.
+
+    ``docs`` are joined by id; with the same plan for it as in the join of the cuts, Spark shuffles the texts once for both.
+    """
+    asked = cuts.select("doc_id", F.explode(_edges(F.col("cut"))).alias("x")).select("doc_id", "x.pos", "x.f_doc", "x.f_pos").where("doc_id <> f_doc").distinct()
+    asked = Scratch(docs.sparkSession, "edges").table(asked, "asked")
+    wanted = asked.select("f_doc", "f_pos").distinct().groupBy("f_doc").agg(F.collect_list("f_pos").alias("at"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, at in zip(batch.column("f_doc").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
+                n = _Neighbours(text.as_py(), min_words)
+                ends = {s: e for s, e, _ in n.paragraphs}
+                rows += [(doc, k, *n.beside(k, ends[k])) for k in at if k in ends]
+            kinds = (batch.schema.field("f_doc").type, pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_pos", "before", "after"])
+
+    texts = docs.join(wanted, docs[id_col] == wanted["f_doc"]).where(F.col(text_col).isNotNull()).select("f_doc", F.col(text_col).alias("text"), "at")
+    said = texts.mapInArrow(look, f"f_doc {docs.schema[id_col].dataType.simpleString()}, f_pos int, before array<string>, after array<string>")
+    # rows that repeat the first occurrence's id may differ; one of them speaks
+    said = said.groupBy("f_doc", "f_pos").agg(F.min(F.struct("before", "after")).alias("s"))
+    return asked.join(said, ["f_doc", "f_pos"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s.before", "s.after")).alias("sides"))
+
+
+def _without(text: str, wanted: dict[int, set[int]], sides: dict[int, tuple[list[str], list[str]]], min_words: int) -> tuple[str, list[dict[str, int]]]:
+    """A text without the paragraphs that begin at some units and have their digests, lengthened by the words beside their first
+    occurrences, and the spans that went."""
+    n = _Neighbours(text, min_words)
+    found = [n.lengthen(*n.span(start, end), *sides.get(start, (None, None))) for start, end, high in n.paragraphs if high in wanted.get(start, ())]
     spans: list[dict[str, int]] = []
-    for start, end, high in zip(p.start.tolist(), p.end.tolist(), p.high.tolist(), strict=True):
-        if high in wanted.get(start, ()):
-            a, b = ends[start - 1] if start else 0, ends[end - 1]
-            if spans and a <= spans[-1]["end"]:
-                spans[-1]["end"] = max(b, spans[-1]["end"])
-            else:
-                spans.append({"start": a, "end": b})
+    for a, b in sorted(found):
+        if spans and a <= spans[-1]["end"]:
+            spans[-1]["end"] = max(b, spans[-1]["end"])
+        else:
+            spans.append({"start": a, "end": b})
     at, kept = 0, []
     for s in spans:
         kept.append(text[at : s["start"]])
@@ -136,8 +228,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """All columns of ``docs`` with cleaned text, and ``n_removed``, ``removed_spans`` (offsets in the original text).
 
     Units are normalised by lower case and single spaces. Removed paragraphs that touch or overlap are one span; spans are
-    ``[start, end)`` in code points, ascending and apart, and hold whole units with the blank or line feed that ends each.
-    A paragraph that repeats one of its own document goes too, unless both overlap. Text of fewer than ``min_words`` words
+    ``[start, end)`` in code points, ascending and apart. They hold whole units with the blank or line feed that ends each, and
+    beside them the words that also stand beside the first occurrence; a word is what white space parts. A paragraph that repeats one of its own document goes too, unless both overlap. Text of fewer than ``min_words`` words
     between other text stays, however often it repeats.
 
     Null text stays null with nothing removed, empty text stays empty. Rows that repeat an id count as one document: what
@@ -145,18 +237,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result. The column names ``n_removed`` and ``removed_spans`` are replaced if the input has them.
     """
     docs = docs.drop("n_removed", "removed_spans")
-    cut = repeated_paragraphs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"))
+    scratch = Scratch(docs.sparkSession, "cuts")
+    cuts = scratch.table(repeated_paragraphs(docs, id_col, text_col, min_words), "cuts")
+    sides = scratch.table(edge_words(docs, cuts, id_col, text_col, min_words), "sides")
+    cut = cuts.join(sides, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut"), F.col("sides").alias("__sides"))
 
-    def remove(texts: pa.Array, starts: pa.Array, highs: pa.Array) -> pa.Array:
+    def remove(texts: pa.Array, starts: pa.Array, highs: pa.Array, sides: pa.Array) -> pa.Array:
         out = []
-        for text, at, of in zip(texts, starts, highs, strict=True):
+        for text, at, of, beside in zip(texts, starts, highs, sides, strict=True):
             if not text.is_valid or not at.is_valid:
                 out.append(None)
                 continue
             wanted: dict[int, set[int]] = {}
             for k, h in zip(at.values.to_pylist(), of.values.to_pylist(), strict=True):
                 wanted.setdefault(k, set()).add(h)
-            kept, spans = _without(text.as_py(), wanted, min_words)
+            words = {x["pos"]: (x["before"], x["after"]) for x in beside.as_py() or ()}
+            kept, spans = _without(text.as_py(), wanted, words, min_words)
             out.append({"text": kept, "spans": spans})
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(span))]))
@@ -164,7 +260,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remove_udf = F.arrow_udf(remove, f"struct<text:string,spans:array<{SPAN}>>")
     joined = docs.join(cut, docs[id_col] == cut["__id"], "left")
     hit = F.when(F.col("__cut").isNotNull(), F.col(text_col))
-    done = joined.withColumn("__done", remove_udf(hit, F.col("__cut.pos"), F.col("__cut.high")))
+    done = joined.withColumn("__done", remove_udf(hit, F.col("__cut.pos"), F.col("__cut.high"), F.col("__sides")))
     text = F.when(F.col("__done").isNull(), F.col(text_col)).otherwise(F.col("__done.text"))
     spans = F.coalesce("__done.spans", F.array().cast(f"array<{SPAN}>"))
     return done.select(
