@@ -46,14 +46,17 @@ def signals(votes: DataFrame, key: str = "search_id") -> DataFrame:
     maps = roles.groupBy(key).agg(entries("u").alias("role_up"), entries("d").alias("role_down"))
     flat = rows.groupBy(key).agg(
         F.array_sort(F.collect_set(F.when(says("not this company") & some("company"), F.lower("company")))).alias("excluded_companies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(up, F.filter(title_words, lambda w: F.length(w) > 2)))))).alias("liked_words"),
         F.bool_or(says("too junior")).alias("too_junior"),
         F.bool_or(says("too senior")).alias("too_senior"),
         F.array_sort(F.collect_set(F.when(says("wrong location") & some("location"), T.first_place(c("location"))))).alias("bad_places"),
         F.bool_or(says("salary too low")).alias("salary_strict"),
     )
+    # distinct before they are gathered: a search holds as many words as there are, however many votes it has
+    liked = rows.where(up).select(key, F.explode(F.filter(title_words, lambda w: F.length(w) > 2)).alias("word")).distinct()
+    liked = liked.groupBy(key).agg(F.array_sort(F.collect_list("word")).alias("liked_words"))
     none = F.create_map().cast("map<string,int>")
-    out = flat.join(maps, key, "left")
+    out = flat.join(liked, key, "left").join(maps, key, "left")
+    out = out.withColumn("liked_words", F.coalesce("liked_words", F.array().cast("array<string>")))
     return out.withColumn("role_up", F.coalesce("role_up", none)).withColumn("role_down", F.coalesce("role_down", none))
 
 

@@ -11,10 +11,13 @@ from .. import values as V
 from ..tables import Scratch
 
 
-def top_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int | Column, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group; with ``rank``, their number."""
+def top_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int | Column, rank: str | None = None, most: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each group; with ``rank``, their number. Where ``n`` is a column, ``most`` says how much it can be:
+    a number lets Spark keep so many rows of a group in each task before the shuffle, a column doesn't."""
     name = rank or "__rank"
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    out = out.where(F.col(name) <= (n if most is None else most))
+    out = out if most is None else out.where(F.col(name) <= n)
     return out if rank else out.drop(name)
 
 
@@ -62,7 +65,7 @@ def triage(postings: DataFrame, liked_companies: Sequence[str], limit: int = 25,
 def capped_sections(judged: DataFrame, caps: dict[str, int], keys: Sequence[str] = ("profile",)) -> DataFrame:
     """RK-04: the best of each status, with a cap for each."""
     cap = F.coalesce(*[F.when(F.col("status") == k, n) for k, n in caps.items()], F.lit(0))
-    return top_per(judged, [*keys, "status"], [F.desc("total"), F.col("seq")], cap, "rank")
+    return top_per(judged.where(F.col("status").isin(*caps)), [*keys, "status"], [F.desc("total"), F.col("seq")], cap, "rank", max(caps.values(), default=0))
 
 
 def notable_rejects(judged: DataFrame, possible_min: int, n: int = 5, keys: Sequence[str] = ("profile",)) -> DataFrame:

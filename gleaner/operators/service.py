@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import Scratch
 from .ranking import top_per
 
 # Clients that aren't people, and thresholds.
@@ -154,7 +155,7 @@ def frontier(links: DataFrame, read: DataFrame, most: int = CRAWL_PAGES) -> Data
     spent = read.groupBy("site").agg(F.count(F.lit(1)).alias("spent"))
     slashes = F.length("url") - F.length(F.translate("url", "/", ""))
     left = new.join(spent, "site", "left").withColumn("left", F.greatest(F.lit(0), F.lit(most) - F.coalesce("spent", F.lit(0))))
-    return top_per(left, ["site"], [~c("board"), c("own_host"), slashes, c("url")], c("left"), "rank").drop("left", "spent")
+    return top_per(left, ["site"], [~c("board"), c("own_host"), slashes, c("url")], c("left"), "rank", most).drop("left", "spent")
 
 
 def active_feeds(feeds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -245,19 +246,18 @@ def vote_payload(profile: Column, key: Column, title: Column, company: Column) -
     return F.rtrim(F.translate(F.regexp_replace(F.base64(said.cast("binary")), r"\s", ""), "+/", "-_"), F.lit("="))
 
 
-def flat_strings(strings: DataFrame, depth: int = 6) -> DataFrame:
-    """FN-36: ``lang, key, value`` of nested JSON objects (``lang, document``): dotted keys of at most so many parts."""
-    left = strings.select("lang", F.lit("").alias("key"), c("document").alias("value"))
-    done = []
-    for _ in range(depth):
+def flat_strings(strings: DataFrame) -> DataFrame:
+    """FN-36: ``lang, key, value`` of nested JSON objects (``lang, document``), keys with dots between their parts; one round a
+    level, until no value is an object."""
+    scratch = Scratch(strings.sparkSession, "strings")
+    left = scratch.table(strings.select("lang", F.lit("").alias("key"), c("document").alias("value")), "level")
+    done = left.where("false")
+    while not left.isEmpty():
         inner = left.select("lang", "key", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        left = inner.select("lang", F.when(c("key") == "", c("k")).otherwise(F.concat_ws(".", "key", "k")).alias("key"), "value")
-        done.append(left.where(~F.startswith("value", F.lit("{"))))
-        left = left.where(F.startswith("value", F.lit("{")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        level = scratch.table(inner.select("lang", F.when(c("key") == "", c("k")).otherwise(F.concat_ws(".", "key", "k")).alias("key"), "value"), "level")
+        done = done.unionByName(level.where(~F.startswith("value", F.lit("{"))))
+        left = level.where(F.startswith("value", F.lit("{")))
+    return done
 
 
 def translated(flat: DataFrame, langs: Sequence[str], fallback: str = "en") -> DataFrame:

@@ -777,13 +777,14 @@ def conversation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("prompt"))
 
 
-_HEADERS = {"de-DE,de;q=0.9,en;q=0.8": "de", "fr;q=0.2,es;q=0.7": "es", "xx": "en", "": "en", "pt, en;q=x": "en", "es;q=0,fr": "fr"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _HEADERS.items()) + ") t(header, lang)")
+@query(
+    """SELECT doc_id, CASE WHEN lang IN ('en', 'es', 'fr') AND doc_id % 10 >= 5 THEN lang ELSE 'de' END AS lang FROM documents"""
+)
 def negotiate_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
-    return rows.select("header", feedback.negotiate(c("header"), ("en", "de", "es", "fr")).alias("lang"))
+    """FN-35: each document's own language at a weight of 0.0 to 0.9, and German at 0.5."""
+    weight = F.concat(F.lit(";q=0."), (c("doc_id") % 10).cast("string"), F.lit(", xx, de;q=0.5"))
+    header = F.concat(F.coalesce("lang", F.lit("zz")), F.lit("-"), F.upper(F.coalesce("lang", F.lit("zz"))), weight)
+    return _read(spark, sf_dir, "documents").select("doc_id", feedback.negotiate(header, ("en", "de", "es", "fr")).alias("lang"))
 
 
 # ---------------------------------------------------------------- state

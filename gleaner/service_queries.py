@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import values as V
 from .functions import money as M
 from .functions import text as T
+from .functions.address import is_public_url
 from .model import client
-from .operators import service, state
+from .operators import links, service, state
+from .operators.buckets import BucketTable
 from .queries import _COMPANY as COMPANY_SQL
 from .queries import P, Query, _read, with_p
 from .tables import Scratch
@@ -246,12 +248,15 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.frontier(rows, found.where(n % 5 == 0)).select("site", "url", "rank")
 
 
-FEEDS = [("jooble", ["JOOBLE"]), ("adzuna", ["ADZUNA_ID", "ADZUNA_KEY"]), ("open", [])]
-
-
-@query("SELECT * FROM (VALUES ('jooble'), ('open')) t(name)")
+@query(
+    """SELECT s_name AS name FROM supplier WHERE len(list_filter(list_transform(range(1, s_suppkey % 4 + 1), lambda i: (s_suppkey * 3 + i) % 5), lambda k: k > 2)) = 0"""
+)
 def active_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return service.active_feeds(spark.createDataFrame(FEEDS, "name string, needs array<string>"), ["JOOBLE", "ADZUNA_ID"]).select("name")
+    """SRC-21: each supplier is a feed that needs up to three of five settings, of which three are there."""
+    key = c("s_suppkey")
+    numbers = F.filter(F.sequence(F.lit(0).cast("long"), key % 4), lambda i: i > 0)
+    needs = F.transform(numbers, lambda i: F.concat(F.lit("KEY"), ((key * 3 + i) % 5).cast("string")))
+    return service.active_feeds(_read(spark, sf_dir, "supplier").select(c("s_name").alias("name"), needs.alias("needs")), ["KEY0", "KEY1", "KEY2"]).select("name")
 
 
 @query(
@@ -294,12 +299,20 @@ def export_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.export(people, "c_custkey")
 
 
-AGENTS = [("Mozilla/5.0 (X11)", False), ("AdsBot-Google", True), ("", True), (None, True), ("curl/8", True), ("Safari", False), ("HeadlessChrome", True)]
+AGENTS = ["Mozilla/5.0 (X11)", "AdsBot-Google", "", None, "curl/8", "Safari", "HeadlessChrome"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({'NULL' if a is None else repr(a)}, {b})" for a, b in AGENTS) + ") t(agent, bot)")
+@query(
+    """WITH a AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Mozilla/5.0 (X11)' WHEN 1 THEN 'AdsBot-Google' WHEN 2 THEN '' WHEN 4 THEN 'curl/8' WHEN 5 THEN 'Safari' WHEN 6 THEN 'HeadlessChrome' END
+               || CASE WHEN event_id % 7 = 2 THEN '' ELSE ' ' || event_type END AS agent FROM events)
+    SELECT event_id, event_id % 7 NOT IN (0, 5) AS bot FROM a"""
+)
 def bot_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in AGENTS], "agent string").select("agent", service.is_bot(c("agent")).alias("bot"))
+    """FN-41: seven user agents over all events, with the event's type behind the name."""
+    i = c("event_id")
+    agent = F.get(F.array(*[F.lit(a) for a in AGENTS]), (i % 7).cast("int"))
+    agent = F.when(agent == "", agent).otherwise(F.concat(agent, F.lit(" "), "event_type"))
+    return _read(spark, sf_dir, "events").select("event_id", service.is_bot(agent).alias("bot"))
 
 
 @query(
@@ -332,14 +345,19 @@ def digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STRINGS = [("en", '{"mail": {"hello": "Hello", "bye": {"short": "Bye"}}, "title": "Jobs"}'), ("de", '{"mail": {"hello": "Hallo"}, "only": "hier"}')]
-
-
 @query(
-    """SELECT * FROM (VALUES ('en', 'mail.hello', 'Hello'), ('en', 'mail.bye.short', 'Bye'), ('en', 'title', 'Jobs'), ('de', 'mail.hello', 'Hallo'), ('de', 'mail.bye.short', 'Bye'), ('de', 'title', 'Jobs')) t(lang, key, value)"""
+    """WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE text NOT LIKE '{%')
+    SELECT lang, 'c' || conv_id || '.t' || turn || '.' || role AS key, CASE WHEN lang = 'de' AND turn % 2 = 0 THEN 'de: ' || text ELSE text END AS value
+    FROM t, (SELECT unnest(['en', 'de']) AS lang)"""
 )
 def locale_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return service.translated(service.flat_strings(spark.createDataFrame(STRINGS, "lang string, document string")), ["en", "de"])
+    """FN-36, JN-21: every turn of a conversation is a string three levels deep; German has every second one."""
+    t = _read(spark, sf_dir, "conversations").where(~F.startswith("text", F.lit("{")))
+    named = lambda x: F.concat(F.lit(x), F.col({"c": "conv_id", "t": "turn"}[x]).cast("string"))
+    document = lambda text: F.to_json(F.create_map(named("c"), F.create_map(named("t"), F.create_map(c("role"), text))))
+    both = t.select(F.lit("en").alias("lang"), document(c("text")).alias("document"))
+    both = both.union(t.where("turn % 2 = 0").select(F.lit("de"), document(F.concat(F.lit("de: "), "text"))))
+    return service.translated(service.flat_strings(both), ["en", "de"])
 
 
 @query(
@@ -390,3 +408,50 @@ def rate_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UX-05 with a scripted model."""
     p = P(spark, sf_dir).withColumns({"profile": c("source"), "text": F.lit("one line")})
     return client.rate_companies(p, scripted, "which fit?")
+
+
+@query(
+    """WITH h AS (
+        SELECT event_id, user_id % 256 AS a, event_id % 256 AS b, event_id % 9 AS k FROM events)
+    SELECT event_id, CASE k
+        WHEN 0 THEN NOT (a IN (0, 10, 127) OR a >= 240 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)))
+        WHEN 1 THEN NOT (a IN (0, 10, 127) OR a >= 240 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)))
+        WHEN 2 THEN false
+        WHEN 3 THEN NOT (a IN (1, 95, 252, 253) OR (a = 0 AND b IN (0, 1)))
+        WHEN 4 THEN false
+        WHEN 5 THEN true
+        WHEN 6 THEN false
+        WHEN 7 THEN false
+        ELSE true END AS public
+    FROM h"""
+)
+def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-28: addresses of all events: IPv4 in dots and as one number, mapped and plain IPv6, names, local names, other schemes."""
+    a, b, k = (c("user_id") % 256), (c("event_id") % 256), c("event_id") % 9
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    number = a * 16777216 + b * 65536 + 1 * 256 + 7
+    group = F.lpad(F.lower(F.hex(a * 256)), 4, "0")
+    urls = [
+        text("http://", a, ".", b, ".1.7/x"), text("https://user:pw@", number, ":8080/"), text("http://[::ffff:", a, ".", b, ".1.7]/"), text("http://[", group, "::", b, "]/"),
+        text("ftp://", a, ".", b, ".1.7/"), text("https://jobs", b, ".example/"), text("http://db", b, ".internal:5432/"), text("http://localhost/", b), text("HTTPS://EXAMPLE", b, ".org?x"),
+    ]
+    return _read(spark, sf_dir, "events").select("event_id", is_public_url(F.get(F.array(*urls), k.cast("int"))).alias("public"))
+
+
+@query(
+    with_p(r""", w AS (SELECT seq, 'https://host' || seq % 50 || '.example/' || seq AS url, direct, partner, text, row_number() OVER (PARTITION BY seq % 50 ORDER BY 'https://host' || seq % 50 || '.example/' || seq) AS k FROM p)
+    SELECT seq, CASE WHEN direct OR partner <> '' THEN true WHEN k > (SELECT ceil(count(*) / 100.0) FROM p) * 2 THEN NULL ELSE seq % 7 <> 3 AND seq % 5 <> 4 END AS alive, 0::BIGINT AS asked_again FROM w""")
+)
+def links_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-27: links of all postings are asked in two runs, each with a limit a host, and in a third that finds everything it may
+    ask remembered; ``asked_again`` is what that one asked of hosts that were within their limit."""
+    p = P(spark, sf_dir).withColumn("url", F.concat(F.lit("https://host"), (c("seq") % 50).cast("string"), F.lit(".example/"), c("seq").cast("string")))
+    table = BucketTable(spark, Scratch(spark, "links").folder("table"), links.SCHEMA, ["url"], 8)
+    n = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    web = lambda due: due.select("url", F.when(n % 7 != 3, 200).alias("status"), F.when(n % 5 == 4, "Sorry, this JOB has expired.").otherwise("Apply now").alias("body"))
+    limit = -(-p.count() // 100)
+    for run in range(2):
+        links.check_links(p, table, web, now=1_000_000 + run, per_host=limit)
+    known = table.read()
+    again = links.check_links(p.join(known.select("url"), "url", "left_semi"), table, web, now=1_000_002, per_host=limit)
+    return links.with_alive(p, known).select("seq", "alive", F.lit(again).cast("long").alias("asked_again"))
