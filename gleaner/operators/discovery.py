@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.address import host
+from ..tables import Scratch
+from .ranking import top_per
 
 # Addresses of boards, with the part that names one, and parts that name none.
 BOARD_LINKS = {
@@ -61,3 +65,60 @@ def pick_board(candidates: DataFrame, probed: DataFrame) -> DataFrame:
     """
     ok = candidates.join(probed, ["ats", "slug"]).where("ok and (not guessed or (jobs > 0 and name_matches))")
     return ok.groupBy("company_id").agg(F.min_by(F.struct("ats", "slug"), "pos").alias("b")).select("company_id", "b.ats", "b.slug")
+
+
+#: Pages that are read of one site.
+CRAWL_PAGES = 8
+
+
+def join_url(source: Column, href: Column) -> Column:
+    """The address that a link of a page means; null for other schemes. Dot segments stay as they are written."""
+    root = F.regexp_extract(source, r"^((?i:https?)://[^/?#]+)", 1)
+    folder = F.regexp_extract(source, r"^((?i:https?)://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    return (
+        F.when(href.rlike("^(?i:https?)://"), href)
+        .when(href.startswith("//"), F.concat(F.substring_index(source, "//", 1), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .when(~href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(folder, href))
+    )
+
+
+def crawl(starts: DataFrame, fetch: Callable[[DataFrame], DataFrame], budget: int = CRAWL_PAGES) -> DataFrame:
+    """SRC-29: ``site, place, url, html``: the pages that are read of each site, in order, at most ``budget`` of each.
+
+    ``starts``: ``site, base, url`` with the host without www. as ``base``. A page's new links to hosts of the site or to boards are
+    lined up behind the pages that wait already: boards first, then other hosts of the site, few slashes. Each round reads one
+    page of every site, so there are at most ``budget`` rounds; ``fetch`` gets ``site, base, url`` and adds ``html``, null where
+    nothing answers. Waiting pages and addresses that were seen are tables of their own; what was read is written once.
+    """
+    scratch = Scratch(starts.sparkSession, "crawl")
+    first = starts.groupBy("site").agg(F.min_by("base", "url").alias("base"), F.min("url").alias("url"))
+    waiting = scratch.table(first.select("site", "base", "url", F.lit(0).alias("place")), "waiting")
+    seen, done = waiting.select("site", "url"), None
+    is_board = reduce(lambda a, b: a | b, [F.col("url").rlike(f"(?i){p}") for p in BOARD_LINKS.values()])
+    for k in range(budget):
+        now = waiting.where(F.col("place") == k)
+        if now.isEmpty():
+            break
+        read = scratch.table(fetch(now.select("site", "base", "url")).select("site", "base", "url", "html"), "read")
+        page = read.select("site", F.lit(k).alias("place"), "url", "html")
+        done = page if done is None else done.unionByName(page)
+        found = read.where("html is not null").select("site", "base", F.col("url").alias("source"), F.explode(links(F.col("html"))).alias("href"))
+        found = found.select("site", "base", join_url(F.col("source"), F.col("href")).alias("url")).distinct()
+        own, board = host(F.col("url")), is_board
+        found = found.withColumns({"board": board, "host": own}).where(F.col("board") | F.endswith(F.col("host"), F.col("base")))
+        fresh = scratch.table(found.join(seen, ["site", "url"], "left_anti"), "fresh")
+        taken = waiting.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("taken"))
+        slashes = F.length("url") - F.length(F.translate("url", "/", ""))
+        order = [~F.col("board"), F.regexp_replace("host", r"^www\.", "") == F.col("base"), slashes, F.col("url")]
+        next_ones = top_per(fresh.join(taken, "site"), ["site"], order, F.lit(budget) - F.col("taken"), "rank", budget)
+        seen = scratch.table(seen.unionByName(fresh.select("site", "url")), "seen")
+        waiting = scratch.table(waiting.unionByName(next_ones.select("site", "base", "url", (F.col("taken") + F.col("rank") - 1).alias("place"))), "waiting")
+    return waiting.selectExpr("site", "place", "url", "cast(null as string) AS html").where("false") if done is None else done
+
+
+def first_boards(read: DataFrame) -> DataFrame:
+    """``site, ats, slug``: the first board that the pages of a site link to, in order."""
+    each = read.select("site", "place", F.posexplode(board_links(F.coalesce("html", F.lit("")))).alias("k", "b"))
+    return each.groupBy("site").agg(F.min_by("b", F.struct("place", "k")).alias("b")).select("site", "b.ats", "b.slug")

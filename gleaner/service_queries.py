@@ -10,7 +10,7 @@ from .functions import money as M
 from .functions import text as T
 from .functions.address import is_public_url
 from .model import client
-from .operators import links, service, state
+from .operators import discovery, links, service, state
 from .operators.buckets import BucketTable
 from .queries import _COMPANY as COMPANY_SQL
 from .queries import P, Query, _read, with_p
@@ -240,8 +240,6 @@ def mark_and_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT site, url, rank::INT AS rank FROM r WHERE rank <= greatest(0, 8 - spent)"""
 )
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators import discovery
-
     found = _read(spark, sf_dir, "pages").select((c("page_id") % 40).alias("site"), F.explode(discovery.links(c("html"))).alias("url")).distinct()
     n = F.length("url")
     rows = found.select("site", "url", (n % 3 == 0).alias("board"), (n % 2 == 0).alias("own_host"))
@@ -455,3 +453,48 @@ def links_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table.read()
     again = links.check_links(p.join(known.select("url"), "url", "left_semi"), table, web, now=1_000_002, per_host=limit)
     return links.with_alive(p, known).select("seq", "alive", F.lit(again).cast("long").alias("asked_again"))
+
+
+_CRAWL_SQL = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+    made AS (SELECT page_id, page_id % 40 AS site, coalesce(html, '') || coalesce((SELECT string_agg(CASE WHEN j = 3 THEN '<a href="https://jobs.c' || page_id % 40 || '.example' ELSE '<a href="' END
+                        || '/p/' || (page_id % 40 + 40 * (page_id // 40 * 2 + j)) || '">', '' ORDER BY j)
+                    FROM (SELECT unnest([1, 2, 3]) AS j) WHERE page_id % 40 + 40 * (page_id // 40 * 2 + j) < (SELECT n FROM n)), '')
+                    || CASE WHEN page_id % 11 = 5 THEN '<a href="https://jobs.lever.co/acme' || page_id || '">' ELSE '' END AS html FROM pages),
+    web AS MATERIALIZED (SELECT site, h || '.example' AS host, 'https://' || h || '.example/p/' || page_id AS url, html FROM (SELECT *, unnest(['c' || site, 'jobs.c' || site]) AS h FROM made)),
+    hrefs AS MATERIALIZED (
+        SELECT url AS source, site, CASE WHEN h LIKE '/%' THEN 'https://' || host || h ELSE h END AS url
+        FROM (SELECT *, unnest(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)', 1)) AS h FROM web) WHERE h LIKE '/%' OR h LIKE 'https://%'),
+    l AS MATERIALIZED (
+        SELECT source, list(DISTINCT url) AS urls FROM hrefs
+        WHERE url LIKE 'https://jobs.lever.co/%' OR split_part(url, '/', 3) LIKE '%c' || site || '.example' GROUP BY source),
+    r AS (
+        SELECT site, 0 AS k, ['https://c' || site || '.example/p/' || min(page_id)] AS queue, ['https://c' || site || '.example/p/' || min(page_id)] AS seen FROM made GROUP BY site
+        UNION ALL
+        SELECT site, k + 1, list_concat(queue, fresh[:16 - len(queue)]), list_concat(seen, fresh)
+        FROM (SELECT r.site, r.k, r.queue, r.seen, coalesce((
+                  SELECT list(u ORDER BY u NOT LIKE '%lever%', split_part(u, '/', 3) = 'c' || r.site || '.example', length(u) - length(replace(u, '/', '')), u)
+                  FROM (SELECT unnest(l.urls) AS u) WHERE NOT list_contains(r.seen, u)), []) AS fresh
+              FROM r LEFT JOIN l ON l.source = r.queue[r.k + 1] WHERE r.k < len(r.queue))),
+    last AS (SELECT site, arg_max(queue, k) AS queue FROM r GROUP BY site)
+    SELECT site, q.ordinality::INT - 1 AS place, q.unnest AS url, q.unnest IN (SELECT url FROM web) AS captured FROM last, unnest(queue) WITH ORDINALITY AS q"""
+
+
+@query(_CRAWL_SQL)
+def crawl_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-29: forty sites made of all captured pages, which link to up to three others and some to a board; sixteen pages each."""
+    raw = _read(spark, sf_dir, "pages")
+    n = raw.count()
+    site, q = c("page_id") % 40, F.floor(c("page_id") / 40)
+    at = lambda j: site + 40 * (q * 2 + j)
+    way = lambda j: F.concat(F.lit('<a href="'), F.concat(F.lit("https://jobs.c"), site.cast("string"), F.lit(".example")) if j == 3 else F.lit(""), F.lit("/p/"), at(j).cast("string"), F.lit('">'))
+    ways = [F.when(at(j) < n, way(j)).otherwise("") for j in (1, 2, 3)]
+    lever = F.when(c("page_id") % 11 == 5, F.concat(F.lit('<a href="https://jobs.lever.co/acme'), c("page_id").cast("string"), F.lit('">'))).otherwise("")
+    hosts = F.explode(F.array(F.lit("c"), F.lit("jobs.c")))
+    web = raw.select("page_id", site.alias("site"), F.concat(F.coalesce("html", F.lit("")), *ways, lever).alias("html"), hosts.alias("h"))
+    web = web.select("page_id", "site", F.concat(F.lit("https://"), "h", c("site").cast("string"), F.lit(".example/p/"), c("page_id").cast("string")).alias("url"), "html")
+    web = Scratch(spark, "web").table(web, "web")
+    base = F.concat(F.lit("c"), c("site").cast("string"), F.lit(".example"))
+    home = F.concat(F.lit("https://"), base, F.lit("/p/"), F.min("page_id").cast("string")).alias("url")
+    starts = web.groupBy("site").agg(home).select("site", base.alias("base"), "url")
+    read = discovery.crawl(starts, lambda due: due.join(web.select("url", "html"), "url", "left"), 16)
+    return read.select("site", "place", "url", c("html").isNotNull().alias("captured"))

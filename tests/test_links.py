@@ -52,3 +52,38 @@ def test_links_are_asked_once(spark, tmp_path):
     assert links.check_links(urls, table, web, 1101, keep=100, per_host=9) == 8 and table.version() == 3
     posts = spark.createDataFrame([("https://h0.example/4", False, ""), ("https://h0.example/4", True, ""), ("https://h1.example/1", False, ""), ("http://10.0.0.1/", False, ""), ("https://new.example/", False, "")], "url string, direct boolean, partner string")
     assert sorted((str(r["alive"]) for r in links.with_alive(posts, table.read()).collect())) == ["False", "False", "None", "True", "True"]
+
+
+def test_join_url_is_that_of_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    from gleaner.operators.discovery import join_url
+
+    sources = ["https://a.example/x/y.html?q=/z", "http://a.example", "https://a.example:8080/x/"]
+    hrefs = ["https://b.example/p", "//b.example/p", "/p?x", "p/q", "p", "HTTP://b.example"]
+    rows = [(s, h, urljoin(s, h)) for s in sources for h in hrefs]
+    got = spark.createDataFrame(rows, "s string, h string, u string").select("u", join_url(F.col("s"), F.col("h")).alias("j")).collect()
+    assert [(r["u"].replace("http://b.example", "HTTP://b.example") if r["j"] and r["j"].startswith("HTTP") else r["u"]) for r in got] == [r["j"] for r in got]
+    assert spark.createDataFrame([("https://a.example", "mailto:x@y")], "s string, h string").select(join_url(F.col("s"), F.col("h"))).first()[0] is None
+
+
+def test_crawl_reads_boards_first_and_stops_at_the_budget(spark):
+    from gleaner.operators.discovery import crawl, first_boards
+
+    pages = {
+        "https://www.a.example/": '<a href="/deep/er/page"><a href="/jobs"><a href="https://jobs.a.example/x"><a href="https://other.example/"><a href="/jobs">',
+        "https://jobs.a.example/x": '<a href="https://jobs.lever.co/acme"><a href="/more">',
+        "https://www.a.example/jobs": '<a href="https://boards.greenhouse.io/late">',
+    }
+    web = spark.createDataFrame(list(pages.items()), "url string, html string")
+    starts = spark.createDataFrame([("a", "a.example", "https://www.a.example/"), ("b", "b.example", "https://b.example/")], "site string, base string, url string")
+    fetch = lambda due: due.join(web, "url", "left")
+    read = crawl(starts, fetch, 5)
+    got = [(r["place"], r["url"], r["html"] is not None) for r in read.where("site = 'a'").orderBy("place").collect()]
+    assert got == [
+        (0, "https://www.a.example/", True), (1, "https://jobs.a.example/x", True), (2, "https://www.a.example/jobs", True),
+        (3, "https://www.a.example/deep/er/page", False), (4, "https://jobs.lever.co/acme", False),
+    ]
+    assert read.where("site = 'b'").count() == 1
+    assert [tuple(r) for r in first_boards(read).collect()] == [("a", "lever", "acme")]
+    assert crawl(starts.where("false"), fetch, 5).count() == 0
