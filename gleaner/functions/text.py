@@ -219,11 +219,17 @@ def short_hash(s: Column, digits: int = 7) -> Column:
     return F.left(F.sha2(s, 256), F.lit(digits))
 
 
+def is_json(s: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; parsers stop behind the first."""
+    whole = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    return F.coalesce(whole.isNotNull() & F.try_variant_get(whole, "$[0]", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), F.lit(False))
+
+
 def parse_json_answer(s: Column) -> Column:
     """FN-32: the outermost JSON object in a model's answer as text, without thoughts and fences; null if there is none."""
     s = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?s)<think>.*?</think>", "")
     found = F.regexp_extract(s, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(F.nullif(found, F.lit(""))).isNotNull(), found)
+    return F.when((found != "") & is_json(found), found)
 
 
 def company_slugs(name: Column) -> Column:

@@ -276,7 +276,7 @@ def validate(answer: Column) -> Column:
     parsed = F.from_json(answer, DERIVED)
     some = lambda n: F.coalesce(parsed[n], F.array().cast("array<string>")).alias(n)
     made = F.struct(some("target_roles"), some("fields"), some("questions"), F.coalesce(parsed["clarity"], F.lit(3)).alias("clarity"))
-    return F.when(F.trim(answer).startswith("{") & F.try_parse_json(answer).isNotNull(), made)
+    return F.when(F.trim(answer).startswith("{") & T.is_json(answer), made)
 
 
 def searchable(derived: Column) -> Column:

@@ -10,7 +10,7 @@ from .functions import money as M
 from .functions import text as T
 from .functions.address import is_public_url
 from .model import client
-from .operators import discovery, links, service, state
+from .operators import catalog, discovery, links, matching, service, state
 from .operators.buckets import BucketTable
 from .queries import _COMPANY as COMPANY_SQL
 from .queries import P, Query, _read, with_p
@@ -498,3 +498,101 @@ def crawl_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = web.groupBy("site").agg(home).select("site", base.alias("base"), "url")
     read = discovery.crawl(starts, lambda due: due.join(web.select("url", "html"), "url", "left"), 16)
     return read.select("site", "place", "url", c("html").isNotNull().alias("captured"))
+
+
+@query(
+    with_p("""SELECT seq, CASE WHEN partner <> '' THEN 'via ' || partner WHEN direct THEN 'employer''s career page'
+    ELSE 'source: ' || CASE seq % 4 WHEN 0 THEN 'Remotive' WHEN 1 THEN 'Remote OK' WHEN 2 THEN 'Jobicy' ELSE source END END AS label FROM p""")
+)
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-20: three quarters of the postings come from sources with a name of their own."""
+    p = P(spark, sf_dir)
+    source = F.when(c("seq") % 4 == 0, "remotive").when(c("seq") % 4 == 1, "remoteok").when(c("seq") % 4 == 2, "jobicy").otherwise(c("source"))
+    return p.select("seq", M.source_label(source, c("partner"), c("direct")).alias("label"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d')
+    WHEN 2 THEN strftime(ts - INTERVAL 1 DAY * (event_id % 40), '%Y-%m-%d') WHEN 3 THEN strftime(ts - INTERVAL 30 DAY, '%Y-%m-%d') END AS posted FROM events"""
+)
+def days_ago(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-06: how long ago, in words, from the time of each event; some words say nothing."""
+    i = c("event_id")
+    many = F.concat(F.lit("posted "), (i % 40).cast("string"), F.lit(" days ago"))
+    said = F.get(F.array(F.lit("Posted Today"), F.lit("Posted Yesterday"), many, F.lit("Posted 30+ Days Ago"), F.lit("some day")), (i % 5).cast("int"))
+    posted = M.parse_days_ago(said, c("ts").cast("timestamp"))
+    return _read(spark, sf_dir, "events").select("event_id", F.date_format(posted, "yyyy-MM-dd").alias("posted"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 2 THEN props END AS answer FROM events")
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-32: answers with thoughts and fences around the object, broken ones, and ones without an object."""
+    i = c("event_id")
+    fenced = F.concat(F.lit('<think>{"k": 0} maybe</think>```json '), c("props"), F.lit("``` as asked"))
+    answer = F.when(i % 4 == 0, c("props")).when(i % 4 == 1, fenced).when(i % 4 == 2, F.concat(c("props"), F.lit(" or {"), c("props"), F.lit("}"))).otherwise("no object")
+    return _read(spark, sf_dir, "events").select("event_id", T.parse_json_answer(answer).alias("answer"))
+
+
+_NOTES_SQL = "CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 7 <> 1 THEN event_type || event_id END"
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    i = c("event_id")
+    note = F.when(i % 3 == 0, "").when(i % 7 != 1, F.concat("event_type", i.cast("string"))).alias("note")
+    e = _read(spark, sf_dir, "events").select("user_id", "event_type", i.alias("id"), note, i.alias("arrival"))
+    firsts = e.where("id % 2 = 0").groupBy("user_id", "event_type").agg(F.min_by(F.struct("id", "note"), "id").alias("v"))
+    return firsts.select("user_id", "event_type", "v.id", "v.note"), e.where("id % 2 = 1")
+
+
+@query(
+    f"""WITH e AS (SELECT *, {_NOTES_SQL} AS note FROM events),
+    b AS (SELECT user_id, event_type, event_id AS id, note, -1 AS turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM e WHERE event_id % 2 = 0) WHERE k = 1
+          UNION ALL SELECT user_id, event_type, event_id, note, event_id FROM e WHERE event_id % 2 = 1)
+    SELECT user_id, event_type, arg_min(id, turn) AS id, arg_min(note, turn) FILTER (coalesce(note, '') <> '') AS note FROM b GROUP BY ALL"""
+)
+def fill_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-03: rows keep their ids and take the first note that there is."""
+    return state.fill_if_empty(*_notes(spark, sf_dir), ["user_id", "event_type"], ["note"])
+
+
+@query(
+    f"""WITH e AS (SELECT *, {_NOTES_SQL} AS note FROM events),
+    old AS (SELECT user_id, event_type, event_id AS id, note FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM e WHERE event_id % 2 = 0) WHERE k = 1),
+    new AS (SELECT user_id, event_type, event_id AS id, note FROM e WHERE event_id % 2 = 1 AND user_id % 3 = 0)
+    SELECT * FROM old WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM new) UNION ALL SELECT * FROM new"""
+)
+def replace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-07: all rows of a third of the users are replaced."""
+    old, new = _notes(spark, sf_dir)
+    return state.replace_rows(old, new.where("user_id % 3 = 0").drop("arrival"), ["user_id", "event_type"])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) ELSE epoch_us(TIMESTAMP '2024-01-29') END AS first_at, epoch_us(TIMESTAMP '2024-01-29') AS last_at FROM events")
+def set_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-11: a third of the rows had a first time before."""
+    first, last = state.set_once(F.when(c("event_id") % 3 == 0, c("ts").cast("timestamp")), c("ts").cast("timestamp"), _now())
+    return _read(spark, sf_dir, "events").select("event_id", F.unix_micros(first).alias("first_at"), F.unix_micros(last).alias("last_at"))
+
+
+@query(
+    """WITH s AS (SELECT user_id AS search_id, event_type AS url, ts FROM events)
+    SELECT DISTINCT search_id, url FROM s WHERE (search_id, url) NOT IN (SELECT (search_id, url) FROM s WHERE ts > TIMESTAMP '2024-01-29' - INTERVAL 3 DAY AND search_id % 2 = 0)"""
+)
+def not_shown_lately(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-16: what half of the searches were shown within three days doesn't come again."""
+    s = _read(spark, sf_dir, "events").select(c("user_id").alias("search_id"), c("event_type").alias("url"), c("ts").cast("timestamp").alias("shown_at"))
+    return catalog.not_shown(s.select("search_id", "url").distinct(), s.where("search_id % 2 = 0"), _now(), 3)
+
+
+@query(
+    """WITH v AS (SELECT user_id, event_type AS role, count(*) FILTER (event_id % 5 = 0) AS u, count(*) FILTER (event_id % 3 = 1) AS d FROM events GROUP BY ALL)
+    SELECT user_id, role, d >= 2 AND u < d AS blocked, round(least(0.15, 0.05 * u) - 0.1 * d, 9)::DOUBLE AS bonus FROM v"""
+)
+def role_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-11, SC-04: votes for and against the roles of each user; roles nobody voted on aren't in the maps."""
+    i = c("event_id")
+    votes = _read(spark, sf_dir, "events").groupBy("user_id", c("event_type").alias("role")).agg(F.count_if(i % 5 == 0).cast("int").alias("u"), F.count_if(i % 3 == 1).cast("int").alias("d"))
+    entries = lambda n: F.map_from_entries(F.collect_list(F.when(c(n) > 0, F.struct("role", n))))
+    maps = votes.groupBy("user_id").agg(entries("u").alias("role_up"), entries("d").alias("role_down"))
+    each = votes.select("user_id", "role").join(maps, "user_id")
+    return each.select("user_id", "role", matching.blocked_role(c("role")).alias("blocked"), F.round(matching.role_bonus(c("role")).cast("double"), 9).alias("bonus"))
