@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -134,3 +135,47 @@ def test_toxicity_edges(spark):
     empty = fit_lexicon(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert empty.weights == {} and score_toxicity(docs.where("false"), empty).count() == 0
     assert drop_toxic(docs, lexicon).count() == 3
+
+
+def plain_features(text, weights, exceptions):
+    """Entries looked up at every position, one after the other."""
+    folded = fold(text)
+    covered = [(k, k + len(e) + 1) for e in exceptions for k in range(len(folded)) if folded.startswith(f" {e} ", k)]
+    best = {}
+    for k in range(len(folded)):
+        found = [w for term, w in weights.items() if folded.startswith(term, k)]
+        if found and not any(a <= k < b for a, b in covered):
+            best[k] = max(found)
+    total = sum(best.values())
+    return math.log1p(total), math.log1p(100 * total / max(20, len(folded.split()))), len(best)
+
+
+def test_features_equal_a_plain_scan():
+    rng = random.Random(8)
+    weights = {" scum ": 3.0, " mor": 2.0, " moron ": 4.0, " tr": 1.5, " trash ": 5.0, " été ": 2.5}
+    exceptions = ("trash can", "moron test", "can trash")
+    words = ["scum", "m0r0n", "moron", "more", "tr@sh", "trash", "can", "test", "fine", "word", "ÉTÉ", "x_y", "!!", "scum!!", "tr"]
+    for _ in range(300):
+        text = rng.choice([" ", "", "  "]) + "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "--"]) for _ in range(rng.randint(0, 40)))
+        lexicon = Lexicon(weights, exceptions)
+        assert features(text, lexicon.automaton()) == pytest.approx(plain_features(text, weights, exceptions) if text else (0.0, 0.0, 0))
+
+
+def test_one_toxic_word_does_not_condemn_its_beginning(spark):
+    """A beginning is an entry only where several words that clean texts don't have share it."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"w{rng.randrange(400)}" for _ in range(40)]
+        if i % 4 == 0:
+            words.insert(rng.randrange(40), rng.choice(["pathetic", "worthless", "trash", "grumpa", "grumpb", "grumpc", "grumpd"]))
+        rows.append((i, " ".join(words), ""))
+        labels.append((i, int(i % 4 == 0)))
+    lexicon = fit_lexicon(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {" pathetic ", " worthless ", " trash ", " grump"} <= set(lexicon.weights) and not {" path", " wort", " tras"} & set(lexicon.weights)
+    fine = [
+        "The path through the forest leads to the old house where we were born.", "Das Wort des Jahres ist ein altes Wort, und der Weg ist weit.",
+        "Tras la reunion, el equipo volvio a casa y la tarea quedo lista.", "Worthwhile reading for all of us, and le travail est fini.",
+    ]
+    got = score_toxicity(spark.createDataFrame(list(enumerate(fine)), "doc_id long, text string"), lexicon)
+    assert all(r["score"] < 0.3 and r["n_hits"] == 0 for r in got.collect())

@@ -72,3 +72,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame(labels[:80], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_empty_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(1, "a b c", None, None, None), (1, "a b c", None, None, None), (None, "d e f", None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert (None, 3) in got and (1, 3) in got
