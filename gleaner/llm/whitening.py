@@ -46,7 +46,7 @@ def _unpack(codes: list[bytes]) -> np.ndarray:
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, dim, code`` of every row whose vector has entries, none of them null, infinite or not a number: ``code`` packs
-    floor(64 * c) of each entry c as double; x is that plus a million. Entries beyond 2^57 are an error: x would be no long."""
+    floor(64 * c) of each entry c as double; x is that plus a million. Entries beyond 2^56 are an error: x would be no long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
