@@ -12,7 +12,6 @@ earlier place.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,6 +30,7 @@ MIN_WORDS = 20
 _END = r"[.!?,;:][!-/:-@\[-^`{-~]{0,8}[ \t]|\n"
 _BYTES_END, _TEXT_END = re.compile(_END.encode()), re.compile(_END)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANK = " \t\n\x0b\x0c\r"
 SPAN = "struct<start:int,end:int>"
 
 
@@ -116,61 +116,57 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "high", "f_doc", "f_pos"))).alias("cut"))
 
 
-class _Neighbours:
-    """Words of a text by place, and the paragraphs by first unit, for what stands beside them."""
-
-    def __init__(self, text: str, min_words: int):
-        p = _Paragraphs(_encode(pa.array([text])), min_words)
-        self.ends = [m.end() for m in _TEXT_END.finditer(text)]
-        if not self.ends or self.ends[-1] < len(text):
-            self.ends.append(len(text))
-        self.words = [m.span() for m in _WORD.finditer(text)]
-        self.starts = [a for a, _ in self.words]
-        self.text, self.min_words = text, min_words
-        self.paragraphs = list(zip(p.start.tolist(), p.end.tolist(), p.high.tolist(), strict=True))
-
-    def unit_begin(self, k: int) -> int:
-        return self.ends[k - 1] if k else 0
-
-    def span(self, start: int, end: int) -> tuple[int, int]:
-        return self.unit_begin(start), self.ends[end - 1]
-
-    def spell(self, a: int, b: int) -> list[str]:
-        """The words between two offsets, in lower case."""
-        return [self.text[x:y].lower() for x, y in self.words[bisect_left(self.starts, a) : bisect_left(self.starts, b)]]
-
-    def beside(self, start: int, end: int) -> tuple[list[str], list[str]]:
-        """The words of the unit before a paragraph, and those behind it: of as many units as reach a paragraph's length, and of
-        one more. A passage that goes on further would hold another whole paragraph."""
-        k = start
-        before: list[str] = []
-        while k and not before:
-            k -= 1
-            before = self.spell(self.unit_begin(k), self.ends[k])
-        after: list[str] = []
-        full = False
-        for j in range(end, len(self.ends)):
-            after += self.spell(self.unit_begin(j), self.ends[j])
-            if full and len(after) > enough:
-                break
-            if not full and len(after) >= self.min_words:
-                full, enough = True, len(after)
-        return before, after
-
-    def lengthen(self, a: int, b: int, before: list[str] | None, after: list[str] | None) -> tuple[int, int]:
-        """A span with the words to both sides that equal these."""
-        i, j = bisect_left(self.starts, a), bisect_left(self.starts, b)
-        for word in reversed(before or ()):
-            if not i or self.text[slice(*self.words[i - 1])].lower() != word:
-                break
-            i -= 1
-            a = self.starts[i]
-        for word in after or ():
-            if j == len(self.words) or self.text[slice(*self.words[j])].lower() != word:
-                break
-            b = self.words[j][1]
-            j += 1
-        return a, b
+def _unit_ends(text: str) -> list[int]:
+    ends = [m.end() for m in _TEXT_END.finditer(text)]
+    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+
+
+def _beside(text: str, ends: list[int], start: int, min_words: int) -> tuple[list[str], list[str]]:
+    """The words of the unit before the paragraph that begins at a unit, and those behind it: of as many units as reach a
+    paragraph's length, and of one more. A passage that goes on further would hold another whole paragraph."""
+    spell = lambda k: _WORD.findall(text[ends[k - 1] if k else 0 : ends[k]].lower())
+    before: list[str] = []
+    k = start
+    while k and not before:
+        k -= 1
+        before = spell(k)
+    k, n = start, 0
+    while k < len(ends) and n < min_words:
+        n += len(spell(k))
+        k += 1
+    after: list[str] = []
+    enough = None
+    while k < len(ends) and (enough is None or len(after) == enough):
+        after += spell(k)
+        k += 1
+        if enough is None and len(after) >= min_words:
+            enough = len(after)
+    return before, after
+
+
+def _lengthen(text: str, a: int, b: int, before: list[str], after: list[str]) -> tuple[int, int]:
+    """A span with the words to both sides that equal these."""
+    for word in reversed(before):
+        end = a
+        while end and text[end - 1] in _BLANK:
+            end -= 1
+        begin = end
+        while begin and text[begin - 1] not in _BLANK:
+            begin -= 1
+        if text[begin:end].lower() != word:
+            break
+        a = begin
+    for word in after:
+        begin = b
+        while begin < len(text) and text[begin] in _BLANK:
+            begin += 1
+        end = begin
+        while end < len(text) and text[end] not in _BLANK:
+            end += 1
+        if text[begin:end].lower() != word:
+            break
+        b = end
+    return a, b
 
 
 def _edges(cut: Column) -> Column:
@@ -182,19 +178,20 @@ def _edges(cut: Column) -> Column:
 def edge_words(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``doc_id, sides``: for the paragraphs at the edges of what goes, the words beside their first occurrences.
 
-    ``docs`` are joined by id; with the same plan for it as in the join of the cuts, Spark shuffles the texts once for both.
+    ``docs`` are joined by id, those that hold a first occurrence, and are shuffled for it unless these are few.
     """
     asked = cuts.select("doc_id", F.explode(_edges(F.col("cut"))).alias("x")).select("doc_id", "x.pos", "x.f_doc", "x.f_pos").where("doc_id <> f_doc").distinct()
-    asked = Scratch(docs.sparkSession, "edges").table(asked, "asked")
+    scratch = Scratch(docs.sparkSession, "edges")
+    asked = scratch.table(asked, "asked")
     wanted = asked.select("f_doc", "f_pos").distinct().groupBy("f_doc").agg(F.collect_list("f_pos").alias("at"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, at in zip(batch.column("f_doc").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
-                n = _Neighbours(text.as_py(), min_words)
-                ends = {s: e for s, e, _ in n.paragraphs}
-                rows += [(doc, k, *n.beside(k, ends[k])) for k in at if k in ends]
+                whole = text.as_py()
+                ends = _unit_ends(whole)
+                rows += [(doc, k, *_beside(whole, ends, k, min_words)) for k in at if k < len(ends)]
             kinds = (batch.schema.field("f_doc").type, pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
             columns = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_pos", "before", "after"])
@@ -202,15 +199,20 @@ def edge_words(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, min
     texts = docs.join(wanted, docs[id_col] == wanted["f_doc"]).where(F.col(text_col).isNotNull()).select("f_doc", F.col(text_col).alias("text"), "at")
     said = texts.mapInArrow(look, f"f_doc {docs.schema[id_col].dataType.simpleString()}, f_pos int, before array<string>, after array<string>")
     # rows that repeat the first occurrence's id may differ; one of them speaks
-    said = said.groupBy("f_doc", "f_pos").agg(F.min(F.struct("before", "after")).alias("s"))
+    said = scratch.table(said.groupBy("f_doc", "f_pos").agg(F.min(F.struct("before", "after")).alias("s")), "said")  # a hot place is split
     return asked.join(said, ["f_doc", "f_pos"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s.before", "s.after")).alias("sides"))
 
 
 def _without(text: str, wanted: dict[int, set[int]], sides: dict[int, tuple[list[str], list[str]]], min_words: int) -> tuple[str, list[dict[str, int]]]:
     """A text without the paragraphs that begin at some units and have their digests, lengthened by the words beside their first
     occurrences, and the spans that went."""
-    n = _Neighbours(text, min_words)
-    found = [n.lengthen(*n.span(start, end), *sides.get(start, (None, None))) for start, end, high in n.paragraphs if high in wanted.get(start, ())]
+    p = _Paragraphs(_encode(pa.array([text])), min_words)
+    ends = _unit_ends(text)
+    found = []
+    for start, end, high in zip(p.start.tolist(), p.end.tolist(), p.high.tolist(), strict=True):
+        if high in wanted.get(start, ()):
+            a, b = ends[start - 1] if start else 0, ends[end - 1]
+            found.append(_lengthen(text, a, b, *sides[start]) if start in sides else (a, b))
     spans: list[dict[str, int]] = []
     for a, b in sorted(found):
         if spans and a <= spans[-1]["end"]:
@@ -229,8 +231,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Units are normalised by lower case and single spaces. Removed paragraphs that touch or overlap are one span; spans are
     ``[start, end)`` in code points, ascending and apart. They hold whole units with the blank or line feed that ends each, and
-    beside them the words that also stand beside the first occurrence; a word is what white space parts. A paragraph that repeats one of its own document goes too, unless both overlap. Text of fewer than ``min_words`` words
-    between other text stays, however often it repeats.
+    beside them the words that also stand beside the first occurrence; a word is what white space parts. A paragraph that
+    repeats one of its own document goes too, unless both overlap. Text of fewer than ``min_words`` words between other text
+    stays, however often it repeats.
 
     Null text stays null with nothing removed, empty text stays empty. Rows that repeat an id count as one document: what
     they share with each other at the same place stays in each. Rows with a null id are left alone. An empty table gives an
