@@ -339,6 +339,21 @@ def test_digest_is_the_greedy_choice(spark):
     assert [r["rank"] for r in both] == list(range(1, len(both) + 1)) and both[2]["seq"] == 999
 
 
+def test_caps_by_column_limit_before_the_shuffle(spark):
+    """A cap that differs by row still lets each task keep a bounded number of rows of a group."""
+    rows = [("p", ["strong", "possible", "other"][k % 3], k % 50, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "profile string, status string, total int, seq long")
+    best = ranking.capped_sections(df, {"strong": 3, "possible": 2})
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit", plan.index("WindowGroupLimit") + 1) > plan.index("Exchange hashpartitioning") and ", Partial" in plan
+    want = []
+    for status, n in (("strong", 3), ("possible", 2)):
+        of = sorted((r for r in rows if r[1] == status), key=lambda r: (-r[2], r[3]))[:n]
+        want += [(*r, k + 1) for k, r in enumerate(of)]
+    assert sorted(map(tuple, best.select("profile", "status", "total", "seq", "rank").collect())) == sorted(want)
+    assert ranking.capped_sections(df, {}).count() == 0
+
+
 def test_rules_of_state(spark):
     old = spark.createDataFrame([("a", 1)], "k string, v int")
     change = spark.createDataFrame([("a", 2, 0), ("b", 3, 1), ("b", 4, 2)], "k string, v int, arrival long")
