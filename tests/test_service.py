@@ -28,6 +28,7 @@ def test_seconds_are_the_nearest(spark, tmp_path):
     df.withColumn("ts", df["ts"].cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     due = {r["id"] for r in queries.digest_due(spark, str(tmp_path)).where("due").collect()}
     assert due & {2, 4, 6, 8} == {2}
+    assert {r["id"] for r in queries.digest_recipients(spark, str(tmp_path)).collect()} & {2, 4, 6, 8} == {2}
 
 
 def test_recipients_by_address(spark):
