@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -247,19 +247,23 @@ _LONG = " responsible for the growth of all plants in the northern region and th
 
 
 def with_reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings and what other sources make of some: a longer title, a title cut at 75 characters, a longer company name."""
-    p = P(spark, sf_dir)
+    """Postings and what other sources make of some: a longer title, a title cut at 75 characters, a longer company name. A repost
+    has the text of its posting, so the signature of both is made once."""
+    p = P(spark, sf_dir).withColumn("signature", T.signature(c("text"), F.md5))
+    long = F.concat("title", F.lit(_LONG))
 
-    def repost(k: int, source: str, every: int, **changed) -> DataFrame:
-        return p.where(c("seq") % every == 0).withColumns({"seq": c("seq") + k * 10_000_000_000, "source": F.lit(source), **changed})
+    def repost(k: int, source: Column, every: int, title: Column = c("title"), company: Column = c("company")) -> Column:
+        return F.when(c("seq") % every == 0, F.struct((c("seq") + k * 10_000_000_000).alias("seq"), source.alias("source"), company.alias("company"), title.alias("title")))
 
-    long = F.concat("title", F.lit(_LONG))
-    return (
-        p.unionByName(repost(1, "mirror-a", 5, title=F.concat("title", F.lit(" Team"))))
-        .unionByName(repost(2, "long-a", 7, title=long))
-        .unionByName(repost(3, "long-b", 7, title=F.left(long, F.lit(75))))
-        .unionByName(repost(4, "mirror-c", 9, company=F.concat("company", F.lit(" Marine"))))
+    shown = F.array(
+        repost(0, c("source"), 1),
+        repost(1, F.lit("mirror-a"), 5, title=F.concat("title", F.lit(" Team"))),
+        repost(2, F.lit("long-a"), 7, title=long),
+        repost(3, F.lit("long-b"), 7, title=F.left(long, F.lit(75))),
+        repost(4, F.lit("mirror-c"), 9, company=F.concat("company", F.lit(" Marine"))),
     )
+    rows = p.withColumn("shown", F.explode(F.array_compact(shown)))
+    return rows.select(*[f"shown.{n}" if n in ("seq", "source", "company", "title") else n for n in p.columns])
 
 
 _REPOSTS_SQL = STAR_SQL.replace("p AS (", "p0 AS (", 1) + f""", p AS (SELECT * FROM p0

@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import queries as library
 from gleaner import values as V
 from gleaner.functions import text as T
 from gleaner.operators import matching, ranking, resolve, rules, state
@@ -361,3 +362,21 @@ def test_rules_of_state(spark):
     assert {(r["k"], r["v"]) for r in state.insert_or_ignore(old, change, ["k"]).collect()} == {("a", 1), ("b", 3)}
     filled = state.fill_if_empty(spark.createDataFrame([("a", ""), ("b", "x")], "k string, w string"), spark.createDataFrame([("a", "y", 0), ("b", "z", 0)], "k string, w string, arrival long"), ["k"], ["w"])
     assert {(r["k"], r["w"]) for r in filled.collect()} == {("a", "y"), ("b", "x")}
+
+
+def written(monkeypatch, run):
+    """Schemas of the tables that a run writes."""
+    schemas, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: schemas.append(df.schema) or table(self, df, name))
+    run()
+    return schemas
+
+
+@pytest.mark.parametrize("name", ["replay_clusters"])
+def test_links_carry_no_texts(spark, monkeypatch, tmp_path, name):
+    """Tables between the steps hold lengths and numbers of the texts, not the texts, and not their hashes as digits."""
+    rows = postings(spark, [{"company": "Acme", "title": "Blue ring", "source": "a"}, {"company": "Acme Labs", "title": "Blue ring", "source": "b"}])
+    monkeypatch.setattr(library, "with_reposts", lambda spark, sf_dir: rows)
+    schemas = written(monkeypatch, lambda: library.QUERIES[name](spark, str(tmp_path)))
+    kinds = {f.name: f.dataType.simpleString() for s in schemas for f in s}
+    assert "text" not in kinds and kinds["signature"] == "array<bigint>"
