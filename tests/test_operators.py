@@ -372,7 +372,7 @@ def written(monkeypatch, run):
     return schemas
 
 
-@pytest.mark.parametrize("name", ["replay_clusters", "duplicate_clusters", "company_block_pairs"])
+@pytest.mark.parametrize("name", ["replay_clusters", "duplicate_clusters", "company_block_pairs", "title_block_pairs"])
 def test_links_carry_no_texts(spark, monkeypatch, tmp_path, name):
     """Tables between the steps hold lengths and numbers of the texts, not the texts, and not their hashes as digits."""
     rows = postings(spark, [{"company": "Acme", "title": "Blue ring", "source": "a"}, {"company": "Acme Labs", "title": "Blue ring", "source": "b"}])
