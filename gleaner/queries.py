@@ -369,14 +369,14 @@ def _ids_sql(n: int, rows: str, book: str) -> str:
     f" book AS MATERIALIZED (SELECT alias, min(uid) AS uid FROM a1 JOIN i1 ON i1.cluster_id = a1.cid GROUP BY alias), {_ids_sql(2, 'true', 'book')} SELECT * FROM i2"
 )
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs: ids of the first half of the postings are remembered, then all are resolved."""
-    p, scratch = P(spark, sf_dir), Scratch(spark, "runs")
+    """Two runs: ids of the first half of the postings are remembered, then all are resolved. Ids need the lengths of texts only."""
+    p, scratch = P(spark, sf_dir).withColumn("n_text", F.length("text")).drop("text"), Scratch(spark, "runs")
     half = scratch.table(resolve.clusters_by_closure(p.where("seq % 2 = 0"), exact_only=True), "first")
     none = spark.createDataFrame([], "alias string, uid string, seen long")
-    book = resolve.remember(none, half, resolve.stable_ids(half, resolve.best_of_clusters(half), none, F.md5), now=1_700_000_000)
+    book = resolve.remember(none, half, resolve.stable_ids(half, resolve.best_of_clusters(half, "n_text"), none, F.md5), now=1_700_000_000)
     book = scratch.table(book, "book")
     whole = scratch.table(resolve.clusters_by_closure(p, exact_only=True), "second")
-    return resolve.stable_ids(whole, resolve.best_of_clusters(whole), book, F.md5)
+    return resolve.stable_ids(whole, resolve.best_of_clusters(whole, "n_text"), book, F.md5)
 
 
 # ---------------------------------------------------------------- matching and ranking

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import queries as library
+from gleaner import service_queries
 from gleaner import values as V
 from gleaner.functions import text as T
 from gleaner.operators import matching, ranking, resolve, rules, state
@@ -380,3 +381,10 @@ def test_links_carry_no_texts(spark, monkeypatch, tmp_path, name):
     schemas = written(monkeypatch, lambda: library.QUERIES[name](spark, str(tmp_path)))
     kinds = {f.name: f.dataType.simpleString() for s in schemas for f in s}
     assert "text" not in kinds and kinds["signature"] == "array<bigint>"
+
+
+def test_ids_carry_no_texts(spark, monkeypatch, tmp_path):
+    rows = postings(spark, [{"company": "Acme"}, {"company": "Zeta"}, {"company": "Acme"}])
+    monkeypatch.setattr(library, "P", lambda spark, sf_dir: rows)
+    names = {n for s in written(monkeypatch, lambda: library.stable_ids(spark, str(tmp_path))) for n in s.fieldNames()}
+    assert "n_text" in names and not names & {"text", "signature"}
