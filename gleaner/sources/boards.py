@@ -280,34 +280,38 @@ def _owner(depth: int = 2) -> Column:
     return F.replace(F.regexp_replace(folder, "^owner=", ""), F.lit(","), F.lit("/"))
 
 
-def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Postings of one source from ``path/owner/file``, a JSON or XML payload each. A JSON payload that can't be parsed has no
-    postings; ``broken_payloads`` counts them."""
+def read_source(spark: SparkSession, name: str, path: str, lines: bool = False) -> DataFrame:
+    """Postings of one source from ``path/owner/file``, a JSON or XML payload each, or with ``lines`` many, one a line. A JSON
+    payload that can't be parsed has no postings; ``broken_payloads`` counts them."""
     if name in XML:
         connector, tag, schema = XML[name]
+        if lines:
+            each = F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))).alias("row")
+            rows = spark.read.text(f"{path}/*/*").select(_owner().alias("owner"), each)
+            return connector(rows.select("owner", F.from_xml("row", schema).alias("r")).select("r.*", "owner"))
         rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(f"{path}/*/*")
         return connector(rows.withColumn("owner", _owner()))
-    return JSON[name](payloads(spark, path))
+    return JSON[name](payloads(spark, path, lines))
 
 
-def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """``owner, payload`` of JSON files; whatever isn't JSON is null."""
-    raw = spark.read.text(f"{path}/*/*", wholetext=True).select(_owner().alias("owner"), F.col("value").alias("payload"))
+def payloads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``owner, payload`` of JSON files, or with ``lines`` of their lines; whatever isn't JSON is null."""
+    raw = spark.read.text(f"{path}/*/*", wholetext=not lines).select(_owner().alias("owner"), F.col("value").alias("payload"))
     return raw.withColumn("payload", F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")))
 
 
-def broken_payloads(spark: SparkSession, root: str, names) -> DataFrame:
+def broken_payloads(spark: SparkSession, root: str, names, lines: bool = False) -> DataFrame:
     """SRC-18: ``source, payloads, broken`` of JSON sources: how many payloads each has, and how many aren't JSON."""
-    frames = [payloads(spark, f"{root}/{n}").agg(F.lit(n).alias("source"), F.count(F.lit(1)).alias("payloads"), F.count_if(c("payload").isNull()).alias("broken")) for n in names]
+    frames = [payloads(spark, f"{root}/{n}", lines).agg(F.lit(n).alias("source"), F.count(F.lit(1)).alias("payloads"), F.count_if(c("payload").isNull()).alias("broken")) for n in names]
     return reduce(DataFrame.unionByName, frames)
 
 
-def read_all(spark: SparkSession, root: str, names) -> tuple[DataFrame, dict[str, str]]:
+def read_all(spark: SparkSession, root: str, names, lines: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """SRC-18: the union of sources under ``root/name``, and what went wrong with those that can't be read."""
     frames, errors = {}, {}
     for name in names:
         try:
-            frames[name] = conform(read_source(spark, name, f"{root}/{name}"))
+            frames[name] = conform(read_source(spark, name, f"{root}/{name}", lines))
             frames[name].schema  # noqa: B018  a missing path shows here
         except Exception as e:  # noqa: BLE001  one source must not stop the others
             frames.pop(name, None)

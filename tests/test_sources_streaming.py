@@ -5,11 +5,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from gleaner import source_queries
 from gleaner.model.client import chat, judge_titles
 from gleaner.operators import catalog, discovery
 from gleaner.operators.buckets import BucketTable
 from gleaner.sources import boards
 from gleaner.streaming import jobs
+from test_operators import postings
 
 PAYLOADS = {
     "greenhouse": ("acme", {"jobs": [{"title": "T", "absolute_url": "https://g/1", "location": {"name": "Berlin"}, "content": "&lt;p&gt;a &amp;amp; b&lt;/p&gt;", "updated_at": "2024-01-02T00:00:00Z"}]}),
@@ -140,3 +142,13 @@ def test_model_calls(spark):
     titles = spark.createDataFrame([("p", t) for t in ("a", "b", "c", "bad")], "profile string, title string")
     judged = {r["title"]: r["fits"] for r in judge_titles(titles, make_client, "s", size=2).collect()}
     assert judged == {"a": True, "b": True}  # of the call with "bad" in it nothing is decided
+
+
+def test_payloads_as_lines(spark, tmp_path):
+    """Many payloads a file, one a line, give what a file each gives, from files whose number doesn't grow with them."""
+    p = postings(spark, [{"company": "Acme", "title": f"Ring & bolt {i}".replace("&", "und")} for i in range(300)]).coalesce(1)
+    for name in ("jooble", "personio"):
+        for kind, lines in (("files", False), ("lines", True)):
+            source_queries.write_payloads(p, name, f"{tmp_path}/{kind}/{name}", lines)
+        each, many = (boards.read_source(spark, name, f"{tmp_path}/{kind}/{name}", lines) for kind, lines in (("files", False), ("lines", True)))
+        assert sorted(map(tuple, each.drop("posted").collect()), key=str) == sorted(map(tuple, many.drop("posted").collect()), key=str) and many.count() == 300
