@@ -90,21 +90,38 @@ def rate_limit(events: DataFrame, most: int = 5, seconds: int = 3600, late: str
     )
 
 
+#: Parts of the keys whose state is held together in ``repeat_after``. A stream keeps the number it began with.
+PARTS = 1024
+
+
 def _repeat(days: int):
+    pause = days * 86_400_000_000
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        last = dict(zip(zip(held.get[0], held.get[1], strict=True), held.get[2], strict=True)) if held.exists else {}
+        if not held.hasTimedOut:
+            kinds: dict[str | None, int] = {}
+            parts = [
+                (b["event_id"].to_numpy(np.int64), b["at"].to_numpy("datetime64[us]").astype(np.int64), b["user_id"].to_numpy(), np.array([kinds.setdefault(x, len(kinds)) for x in b["event_type"]], np.int32))
+                for b in batches
+            ]
+            ids, times, users, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            names, order = list(kinds), np.lexsort((ids, times))
+            for at in range(0, len(order), ROWS):
+                some, shown = order[at : at + ROWS], []
+                for k, t, user, code in zip(some.tolist(), times[some].tolist(), users[some].tolist(), codes[some].tolist(), strict=True):
+                    item = (None if user != user else user, names[code])
+                    if (before := last.get(item)) is None or before <= t - pause:
+                        shown.append(k)
+                        last[item] = t
+                yield pd.DataFrame({"event_id": ids[shown], "user_id": users[shown], "event_type": [names[x] for x in codes[shown]], "ts": times[shown].astype("datetime64[us]")})
+        mark = held.getCurrentWatermarkMs() * 1000
+        last = {k: t for k, t in last.items() if -(-(t + pause) // 1000) * 1000 > mark}
+        if last:
+            held.update(([u for u, _ in last], [n for _, n in last], list(last.values())))
+            held.setTimeoutTimestamp(-(-(min(last.values()) + pause) // 1000))
+        elif held.exists:
             held.remove()
-            return
-        last = held.get[0] if held.exists else None
-        for ids, times in _in_order(batches):
-            shown = []
-            for k, t in enumerate(times.tolist()):
-                if last is None or last <= t - days * 86_400_000_000:
-                    shown.append(k)
-                    last = t
-            yield pd.DataFrame({"event_id": ids[shown], "user_id": key[0], "event_type": key[1], "ts": times[shown].astype("datetime64[us]")})
-        held.update((last,))
-        _expire(held, last + days * 86_400_000_000)
 
     return run
 
@@ -114,9 +131,11 @@ def repeat_after(events: DataFrame, days: int = V.REPEAT_DAYS, late: str = "1 da
 
     The state of a user and item goes when the watermark is so many days past the last showing: whatever comes then may be
     shown anyway, so nothing is lost, and what is kept grows with what was shown in that time, not with all that ever was.
+    Keys are dealt to ``PARTS`` groups, so that a call of the function does many keys' work.
     """
-    return _timed(events, late, "user_id", "event_type").groupBy("user_id", "event_type").applyInPandasWithState(
-        _repeat(days), "event_id long, user_id long, event_type string, ts timestamp_ntz", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    timed = _timed(events, late, "user_id", "event_type").withColumn("part", F.pmod(F.xxhash64("user_id", "event_type"), F.lit(PARTS)))
+    return timed.groupBy("part").applyInPandasWithState(
+        _repeat(days), "event_id long, user_id long, event_type string, ts timestamp_ntz", "users array<long>, types array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

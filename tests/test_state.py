@@ -108,6 +108,16 @@ def test_state_goes_when_it_can_no_longer_matter(spark, tmp_path):
     assert sorted(r["event_id"] for r in shown) == [0, 1, 3, 4, 5, 6, 7]
 
 
+def test_one_call_takes_many_keys(spark, tmp_path, monkeypatch):
+    """Users and items are dealt to parts; a call of the function and a row of state are a part's, not a key's."""
+    monkeypatch.setattr(jobs, "PARTS", 2)
+    write(spark, f"{tmp_path}/events", [(i, i // 2, i % 50) for i in range(200)])
+    stream = jobs.repeat_after(jobs.read_events(spark, f"{tmp_path}/events"), 30)
+    shown = jobs.run_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/check").collect()
+    assert sorted((r["event_id"], r["user_id"]) for r in shown) == [(i, i) for i in range(50)]
+    assert spark.read.format("statestore").load(f"{tmp_path}/check").count() == 2
+
+
 def plain_queue(operations, lease, pause, most):
     log, tasks, end = [], {}, 1 << 60
 
