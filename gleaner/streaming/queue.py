@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,7 +13,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: ``op`` is ``add`` (of ``task``), ``claim`` or ``finish`` (by ``worker``, with ``ok``); ``at`` is in microseconds.
 OPERATIONS = "queue long, at long, seq long, op string, task long, worker long, ok boolean"
 LOG = "queue long, at long, task long, kind string, worker long, attempts int"
-_WAITING = "at long, seq long, op string, task long, worker long, ok boolean"
+_WAITING = "packed binary"
+#: An operation as it waits: 33 bytes instead of a tuple of objects. ``op``: add, claim, finish without and with success; NONE is null.
+_OPERATION = np.dtype([("at", "<i8"), ("seq", "<i8"), ("task", "<i8"), ("worker", "<i8"), ("op", "i1")])
+_NONE = np.iinfo(np.int64).min
+#: Operations that are unpacked, and log rows that are returned, at once.
+ROWS = 50_000
+
+
+def _pack(batch: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(batch), _OPERATION)
+    for name in ("at", "seq", "task", "worker"):
+        out[name] = [_NONE if pd.isna(x) else int(x) for x in batch[name].tolist()]
+    ok = [not pd.isna(x) and bool(x) for x in batch["ok"].tolist()]
+    out["op"] = [{"add": 0, "claim": 1}.get(op, 2 + k) for op, k in zip(batch["op"].tolist(), ok, strict=True)]
+    return out
+
+
+def _packed(operations: np.ndarray) -> list[tuple[bytes]]:
+    return [(operations[k : k + ROWS].tobytes(),) for k in range(0, len(operations), ROWS)]
+
+
 _TASKS = "task long, run_after long, attempts int, worker long, lease long"
 
 
@@ -107,13 +128,12 @@ class TaskQueue(StatefulProcessor):
         self.tasks = handle.getListState("tasks", _TASKS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _WAITING.split(", ")]
         first = None
         for batch in rows:
-            fresh = batch[columns].astype(object).where(batch[columns].notna(), None)
-            found = [(int(a), int(s), o, *(None if x is None else int(x) for x in (t, w)), None if k is None else bool(k)) for a, s, o, t, w, k in fresh.itertuples(index=False)]
-            self.waiting.appendList(found)
-            first = min([f[0] for f in found] + ([] if first is None else [first]))
+            if len(batch):
+                found = _pack(batch)
+                self.waiting.appendList(_packed(found))
+                first = min([int(found["at"].min())] + ([] if first is None else [first]))
         if first is not None:
             self._wake(first, timerValues.getCurrentWatermarkInMs())
         return iter([])
@@ -130,26 +150,38 @@ class TaskQueue(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         upto = watermark * 1000
-        operations = sorted(self.waiting.get(), key=lambda o: o[:2])
+        parts = [np.frombuffer(packed, _OPERATION) for (packed,) in self.waiting.get()]
+        operations = np.concatenate(parts) if parts else np.empty(0, _OPERATION)
+        del parts
+        order = np.lexsort((operations["seq"], operations["at"]))
+        n = int(np.searchsorted(operations["at"], upto, sorter=order))
         tasks = _Tasks(self.tasks.get())
-        ready = [o for o in operations if o[0] < upto]
-        for at, _, op, task, worker, ok in ready:
-            tasks.give_back(at)
-            if op == "add":
-                tasks.add(task, at)
-            elif op == "claim":
-                tasks.claim(worker, at, self.lease)
-            else:
-                tasks.finish(worker, at, ok, self.pause, self.most)
+        for k in range(0, n, ROWS):
+            for at, _, task, worker, op in operations[order[k : min(k + ROWS, n)]].tolist():
+                task, worker = None if task == _NONE else task, None if worker == _NONE else worker
+                tasks.give_back(at)
+                if op == 0:
+                    tasks.add(task, at)
+                elif op == 1:
+                    tasks.claim(worker, at, self.lease)
+                else:
+                    tasks.finish(worker, at, op == 3, self.pause, self.most)
+            if len(tasks.log) >= ROWS:
+                yield self._told(key, tasks)
         tasks.give_back(upto - 1)
-        left, rows = operations[len(ready) :], tasks.rows()
-        self.waiting.put(left) if left else self.waiting.clear()
+        left, rows = operations[order[n:]], tasks.rows()
+        self.waiting.put(_packed(left)) if len(left) else self.waiting.clear()
         self.tasks.put(rows) if rows else self.tasks.clear()
-        due = [o[0] for o in left[:1]] + [t[4] for t in rows if t[3] is not None]
+        due = [int(left["at"][0])] if len(left) else []
+        due += [t[4] for t in rows if t[3] is not None]
         if due:
             self.handle.registerTimer(max(min(due) // 1000 + 1, watermark + 1))
         if tasks.log:
-            yield pd.DataFrame([(key[0], *row) for row in tasks.log], columns=[c.split()[0] for c in LOG.split(", ")])
+            yield self._told(key, tasks)
+
+    def _told(self, key, tasks: _Tasks) -> pd.DataFrame:
+        log, tasks.log = tasks.log, []
+        return pd.DataFrame([(key[0], *row) for row in log], columns=[c.split()[0] for c in LOG.split(", ")])
 
     def close(self) -> None:
         pass

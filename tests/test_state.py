@@ -3,6 +3,8 @@
 import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,12 @@ def test_queue_equals_one_worker_list(spark, tmp_path):
     for r in log.collect():
         got.setdefault(r["queue"], []).append(tuple(r)[1:])
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+
+
+def test_waiting_operations_are_packed():
+    """A waiting operation takes 33 bytes in the state and when it is read, whatever is null in it."""
+    batch = pd.DataFrame({"at": [5, 6, 7], "seq": [1, 2, 3], "op": ["add", "claim", "finish"], "task": [9, None, None], "worker": [None, 4, 4], "ok": [None, None, True]})
+    packed = queue._packed(queue._pack(batch))
+    assert [len(p) for (p,) in packed] == [3 * 33]
+    none = queue._NONE
+    assert np.frombuffer(packed[0][0], queue._OPERATION).tolist() == [(5, 1, 9, none, 0), (6, 2, none, 4, 1), (7, 3, none, 4, 3)]
