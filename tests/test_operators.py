@@ -383,6 +383,15 @@ def test_links_carry_no_texts(spark, monkeypatch, tmp_path, name):
     assert "text" not in kinds and kinds["signature"] == "array<bigint>"
 
 
+def test_clusters_make_keys_once(spark, monkeypatch, tmp_path):
+    """What is returned is put together from written tables: titles and texts aren't read again."""
+    rows = postings(spark, [{"company": "Acme", "title": "Blue ring", "source": "a"}, {"company": "Acme Labs", "title": "Blue ring", "source": "b"}])
+    monkeypatch.setattr(library, "with_reposts", lambda spark, sf_dir: rows)
+    found = library.duplicate_clusters(spark, str(tmp_path))
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len({r["cluster_id"] for r in found.collect()}) == 1 and found.count() == 2
+
+
 def test_ids_carry_no_texts(spark, monkeypatch, tmp_path):
     rows = postings(spark, [{"company": "Acme"}, {"company": "Zeta"}, {"company": "Acme"}])
     monkeypatch.setattr(library, "P", lambda spark, sf_dir: rows)
