@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from .. import values as V
 
@@ -168,6 +171,93 @@ def signature_numbers(signature: Column) -> Column:
     return F.transform(signature, lambda h: F.conv(F.left(h, F.lit(15)), 16, 10).cast("long"))
 
 
+def md5_numbers(text: Column) -> Column:
+    """``signature_numbers(signature(text, F.md5))``, with the hashes of many texts made at once: as expressions on arrays, these
+    cost more than all other steps of resolution together."""
+    return _md5_numbers(F.lower(F.coalesce(text, F.lit(""))))
+
+
+#: Shingles that are hashed at once; texts of one call are taken in such portions.
+PORTION = 4096
+#: Word characters are all Latin-1, a byte each; every other character becomes a space.
+_SPACED = bytes(i if re.fullmatch(_WORD, chr(i)) else 32 for i in range(256))
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [np.uint32(int(abs(np.sin(i + 1.0)) * 2**32)) for i in range(64)]
+_SHORT = 55  # bytes that fit one block of MD5
+_OWN, _MARK = np.zeros((2, _SHORT + 1, 64), np.uint8)  # by length: the bytes of a block that are the text's, the bit behind them
+for _n in range(_SHORT + 1):
+    _OWN[_n, :_n], _MARK[_n, _n] = 255, 128
+
+
+def _md5_starts(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 60 bits of the MD5 of each stretch of the data. Stretches of one block go through the rounds side by side."""
+    n = ends - starts
+    fit = np.minimum(n, _SHORT)
+    blocks = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(64), np.uint8), 64)[starts]
+    blocks = (blocks.view("<u8") & _OWN.view("<u8")[fit]) | _MARK.view("<u8")[fit]
+    words = np.ascontiguousarray(blocks.view("<u4").T)
+    words[14] = n * 8
+    begin = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(len(n), x) for x in begin)
+    for i in range(64):
+        if i < 16:
+            f, k = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, k = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, k = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += words[k]
+        f += _SINES[i]
+        s = _SHIFTS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(s)) | (f >> np.uint32(32 - s)))
+    high, low = ((x + y).byteswap().astype(np.int64) for x, y in zip((a, b), begin))
+    found = ((high & 0xFFFFFFFF) << 28) | ((low & 0xFFFFFFFF) >> 4)
+    for i in np.flatnonzero(n > _SHORT):
+        found[i] = int(hashlib.md5(data[starts[i] : ends[i]], usedforsecurity=False).hexdigest()[:15], 16)
+    return found
+
+
+def _smallest(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The smallest distinct hashes of the shingles of each text of words between single spaces."""
+    starts, ends, sizes, offset = [], [], [], 0
+    for text in texts:
+        gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + offset
+        first, last = np.append(offset, gaps + 1), np.append(gaps, offset + len(text))
+        starts.append(first[: max(1, len(first) - 4)])
+        ends.append(last[4:] if len(last) > 4 else last[-1:])
+        sizes.append(len(starts[-1]))
+        offset += len(text)
+    hashes = _md5_starts(b"".join(texts), np.concatenate(starts), np.concatenate(ends))
+    for h in np.split(hashes, np.cumsum(sizes)[:-1]):
+        h.sort()
+        yield h[np.append(True, h[1:] != h[:-1])][: V.SIGNATURE_SIZE]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _md5_numbers(texts: pd.Series) -> pd.Series:
+    found, waiting, size = [[]] * len(texts), {}, 0
+
+    def take() -> None:
+        for i, h in zip(waiting, _smallest(list(waiting.values()))):
+            found[i] = h
+
+    for i, text in enumerate(texts):
+        words = text.encode("latin-1", "replace").translate(_SPACED).split(None, V.SIGNATURE_WORDS)[: V.SIGNATURE_WORDS]
+        joined = b" ".join(words)
+        if len(joined) >= V.SIGNATURE_MIN_CHARS:
+            waiting[i] = joined.decode("latin-1").encode()
+            size += len(words)
+        if size >= PORTION:
+            take()
+            waiting, size = {}, 0
+    if waiting:
+        take()
+    return pd.Series(found)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """FN-17: share of the smallest hashes of the union that both have; null if a signature is empty."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, V.SIGNATURE_SIZE)

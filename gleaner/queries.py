@@ -249,7 +249,7 @@ _LONG = " responsible for the growth of all plants in the northern region and th
 def with_reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings and what other sources make of some: a longer title, a title cut at 75 characters, a longer company name. A repost
     has the text of its posting, so the signature of both is made once."""
-    p = P(spark, sf_dir).withColumn("signature", T.signature_numbers(T.signature(c("text"), F.md5)))
+    p = P(spark, sf_dir).withColumn("signature", T.md5_numbers(c("text")))
     long = F.concat("title", F.lit(_LONG))
 
     def repost(k: int, source: Column, every: int, title: Column = c("title"), company: Column = c("company")) -> Column:

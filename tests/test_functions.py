@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import queries as library
 from gleaner.functions import money as M
 from gleaner.functions import text as T
 
@@ -109,3 +110,17 @@ def test_money_and_time(spark):
     now = F.lit("2024-01-31").cast("timestamp")
     assert day(lambda v: M.parse_days_ago(v, now), "Posted 30+ Days Ago") == "2024-01-01 00:00:00"
     assert apply(spark, lambda v: M.parse_days_ago(v, now), "Posted") is None
+
+
+def test_md5_signatures_made_together(spark):
+    """Hashes of many texts at once are those of the expressions on arrays, at every length of shingle; the named queries use them."""
+    texts = [None, "", "é" * 299, "é" * 300, "x" * 400, " ".join(["y" * 100] * 5), "ß÷ÿ 😀 x" * 90, "À\u00a0É x-" * 200, "日本 語x " * 300, "WORD\tw\u0130 " * 900]
+    texts += [" ".join(str(i * i) * (1 + (i + k) % 4) for i in range(40 + 12 * k)) for k in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    both = d.select(T.md5_numbers(F.col("text")).alias("got"), T.signature_numbers(T.signature(F.col("text"), F.md5)).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in both) and {len(r["got"]) for r in both} >= {0, 1, 64}
+
+
+def test_reposts_hash_no_arrays(spark):
+    plan = library.with_reposts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "md5(" not in plan and "_md5_numbers" in plan
