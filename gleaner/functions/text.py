@@ -262,7 +262,8 @@ def similarity(a: Column, b: Column) -> Column:
     """FN-17: share of the smallest hashes of the union that both have; null if a signature is empty."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, V.SIGNATURE_SIZE)
     share = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), share)
+    known = F.when(a == b, 1.0).when(~F.arrays_overlap(a, b), 0.0).otherwise(share)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), known)
 
 
 def company_match(a: Column, b: Column) -> Column:

@@ -406,3 +406,19 @@ def test_crawled_pages_stay_where_they_lie(spark, monkeypatch, tmp_path):
     schemas = written(monkeypatch, lambda: found.extend(service_queries.crawl_sites(spark, str(tmp_path)).collect()))
     assert sorted((r["site"], r["place"], r["captured"]) for r in found) == [(0, 0, True), (1, 0, True)]
     assert all("page_id" not in s.fieldNames() for s in schemas if "html" in s.fieldNames())
+
+
+def test_beginnings_only_at_lengths_of_other_titles(spark, monkeypatch):
+    """A long title isn't laid out at every length, and titles of too different numbers of words never meet."""
+    long = " ".join(f"word{k}" for k in range(30))
+    titles = ["word0 word1 word2", long[:100], long, "word29"]
+    rows = [(k, "acme", t, len(t)) for k, t in enumerate(titles)]
+    o = spark.createDataFrame(rows, "opening long, collapsed string, canon string, shown int")
+    laid, met, keys, meet = [], [], resolve._keys, resolve._meet
+    monkeypatch.setattr(resolve, "_keys", lambda *a: laid.append(keys(*a)) or laid[-1])
+    monkeypatch.setattr(resolve, "_meet", lambda *a: met.append(meet(*a)) or met[-1])
+    got = resolve.company_links(o).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, True, False), (0, 2, True, False), (1, 2, True, False)]
+    assert sum(k.count() for k in laid) <= 2 * len(titles) ** 2 and met[0].count() == 0
+    assert [r["s"] for r in spark.sql("select array(1L, 2L) a, array(1L, 2L) b, array(3L) c, array(2L, 3L) d, cast(array() as array<bigint>) e").select(
+        F.array(*[T.similarity(F.col(x), F.col(y)) for x, y in ("ab", "ac", "ad", "ae", "ee")]).alias("s")).collect()] == [[1.0, 0.0, 1 / 3, None, None]]
